@@ -1,0 +1,32 @@
+"""Reliable checkpoints in the folder that the cluster names."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder (``spark.checkpoint.dir``).
+
+    Only a local session without one gets a temporary folder; on a cluster a
+    shared folder must be named.
+    """
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+        named = tempfile.mkdtemp(prefix="haulframe-checkpoint-")
+    sc.setCheckpointDir(named)
+    return named
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` computed once and read back; survives the loss of executors."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
