@@ -354,13 +354,14 @@ def cpue_by_mode(spark, sf):
 @query
 def cpue_by_species(spark, sf):
     d = weights.with_weight(T.declarations(spark, sf))
-    effort = indicators.cpue_by_species(d, BOAT)
+    effort = indicators.cpue_by_species(d, BOAT, indicators.cpue_top_species(T.catches(spark, sf)))
     return _effort_columns(effort, species=C.SPECIES, vernacular=C.VERNACULAR, species_rank="species_rank")
 
 
 def _cpue_summary(spark, sf, measure, mode):
     d = weights.with_weight(T.declarations(spark, sf))
-    s = indicators.cpue_summary(indicators.cpue_by_species(d, mode), measure)
+    top10 = indicators.cpue_top_species(T.catches(spark, sf))
+    s = indicators.cpue_summary(indicators.cpue_by_species(d, mode, top10), measure)
     return pick(
         s, vernacular=C.VERNACULAR, species=C.SPECIES, species_rank="species_rank",
         n_outings="n_outings", mean="mean", median="median",

@@ -34,8 +34,7 @@ def not_in(c: Column | str, values: Iterable) -> Column:
 
 
 def nan_to_null(c: Column | str) -> Column:
-    c = as_col(c)
-    return F.when(~F.isnan(c), c)
+    return F.nanvl(as_col(c), F.lit(None).cast("double"))
 
 
 def power(base: Column | str, exponent: Column | str) -> Column:

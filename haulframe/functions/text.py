@@ -32,10 +32,8 @@ def add_note(existing: Column | str, note: str, cond: Column) -> Column:
     said to be either changed or unchanged.
     """
     existing = as_col(existing)
-    blank = existing.isNull() | (existing == "")
-    appended = F.when(blank, F.lit(note)).otherwise(
-        F.concat(existing, F.lit(NOTE_SEPARATOR + note))
-    )
+    # concat_ws leaves out a missing text, and so the separator
+    appended = F.concat_ws(NOTE_SEPARATOR, F.nullif(existing, F.lit("")), F.lit(note))
     return if_else3(cond, appended, existing)
 
 

@@ -31,19 +31,15 @@ def numbered(df: DataFrame, key: str = C.OUTING) -> DataFrame:
     number is its place in the bucket plus the size of the buckets before. The
     bucket sizes are the only thing seen by a single task.
     """
-    bucket = F.conv(F.substring(F.col(key), 1, BUCKET_DIGITS), 16, 10).cast("int")
-    keys = df.select(key).distinct().withColumn("_bucket", bucket)
+    keys = df.select(key).distinct().withColumn("_bucket", F.substring(key, 1, BUCKET_DIGITS))
     sizes = keys.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
     up_to = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     starts = sizes.select("_bucket", (F.sum("_size").over(up_to) - F.col("_size")).alias("_before"))
     place = F.row_number().over(Window.partitionBy("_bucket").orderBy(key))
+    placed = match_missing(keys.withColumn("_place", place), starts, ["_bucket"])
     number = (F.col("_before") + F.col("_place")).cast("string")
     label = F.concat(F.lit("S"), F.lpad(number, F.greatest(F.length(number), F.lit(6)), F.lit("0")))
-    return (
-        keys.withColumn("_place", place)
-        .join(starts, "_bucket")
-        .select(key, label.alias("outing_label"))
-    )
+    return placed.select(key, label.alias("outing_label"))
 
 
 def with_outing_labels(df: DataFrame, key: str = C.OUTING) -> DataFrame:

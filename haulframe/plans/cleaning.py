@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulframe.functions import calendar
-from haulframe.functions.semantics import if_else3, is_in, not_in
+from haulframe.functions.semantics import if_else3, is_in
 from haulframe.functions.text import add_note, digits_id, matches, present_label
 from haulframe.operators.dedupe import keep_first_except
 from haulframe.operators.filters import since
@@ -54,7 +54,7 @@ def recode_zone(df: DataFrame, rules: CleaningRules) -> DataFrame:
     invalid = F.col(C.ZONE_ID) == rules.invalid_zone
     return df.withColumns({
         C.NOTE: F.when(invalid, F.lit(rules.invalid_zone_note)),
-        C.ZONE_ID: if_else3(invalid, F.lit(rules.open_sea_zone).cast("bigint"), F.col(C.ZONE_ID)),
+        C.ZONE_ID: F.when(invalid, F.lit(rules.open_sea_zone)).otherwise(F.col(C.ZONE_ID)),
         C.ZONE: F.coalesce(F.col(C.ZONE), F.lit(rules.default_zone_name)),
     })
 
@@ -78,54 +78,59 @@ def fishing_mode(rules: ModeRules) -> Column:
         F.when((F.col(C.ZONE_ID) == zone) & is_in(C.SUBZONE_ID, subzones), F.lit(mode))
         for zone, subzones, mode in rules.subzones
     ]
-    listed = [
-        F.when(F.col(C.TECHNIQUE) == technique, F.lit(mode))
-        for technique, mode in rules.techniques.items()
-    ]
-    return F.coalesce(worded, *placed, *listed)
+    pairs = [F.lit(text) for pair in rules.techniques.items() for text in pair]
+    listed = F.try_element_at(F.create_map(*pairs), F.col(C.TECHNIQUE))
+    return F.coalesce(worded, *placed, listed)
 
 
-def _capped(df: DataFrame, column: str, cond: Column, value: float, flag: str) -> DataFrame:
+def _capped(df: DataFrame, column: str, cond: Column, value: Column, flag: str) -> DataFrame:
     """Set ``column`` where ``cond`` holds and remember it in ``flag``."""
     df = df.withColumn("_cond", cond)
     return df.withColumns({
-        column: if_else3(F.col("_cond"), F.lit(float(value)), F.col(column)),
+        column: if_else3(F.col("_cond"), value, F.col(column)),
         flag: F.col(flag) | F.col("_cond"),
     }).drop("_cond")
 
 
+def _bounds(rules: CountRules) -> tuple[Column, Column]:
+    """Largest accepted count of a row, and what a larger one becomes.
+
+    Schooling species are cut at the cap. For the others the cap itself is
+    above the limit, so anything above the limit ends at the reset value.
+    """
+    schooling = is_in(C.VERNACULAR, rules.exempt)
+    cap = F.lit(float(rules.cap))
+    return (
+        F.when(schooling, cap).otherwise(F.lit(float(rules.limit))),
+        F.when(schooling, cap).otherwise(F.lit(float(rules.reset))),
+    )
+
+
 def cap_catches(df: DataFrame, rules: CountRules, flag: str) -> DataFrame:
-    """Caps in the listed zones. One membership test covers all zones, since
-    they share limits and a row is in one zone."""
-    zone = F.col(C.ZONE_ID).isin(list(rules.zones))
-    n = F.col(C.CATCHES)
-    df = _capped(df, C.CATCHES, zone & (n > rules.cap), rules.cap, flag)
-    single = zone & not_in(C.VERNACULAR, rules.exempt) & (n > rules.limit)
-    return _capped(df, C.CATCHES, single, rules.reset, flag)
+    """Caps in the listed zones; they share limits and a row is in one zone."""
+    most, becomes = _bounds(rules)
+    cond = F.col(C.ZONE_ID).isin(list(rules.zones)) & (F.col(C.CATCHES) > most)
+    return _capped(df, C.CATCHES, cond, becomes, flag)
 
 
 def cap_kept_released(df: DataFrame, rules: CountRules, flag: str) -> DataFrame:
     """The same caps on kept (or released) fish where the other count is 0."""
-    pairs = ((C.KEPT, C.RELEASED), (C.RELEASED, C.KEPT))
-    for column, other in pairs:
-        cond = (F.col(other) == 0) & (F.col(column) > rules.cap)
-        df = _capped(df, column, cond, rules.cap, flag)
-    for column, other in pairs:
-        cond = (
-            (F.col(other) == 0)
-            & not_in(C.VERNACULAR, rules.exempt)
-            & (F.col(column) > rules.limit)
-        )
-        df = _capped(df, column, cond, rules.reset, flag)
+    most, becomes = _bounds(rules)
+    for column, other in ((C.KEPT, C.RELEASED), (C.RELEASED, C.KEPT)):
+        cond = (F.col(other) == 0) & (F.col(column) > most)
+        df = _capped(df, column, cond, becomes, flag)
     return df
 
 
 def cap_anglers(df: DataFrame, rules: AnglerRules, flag: str) -> DataFrame:
-    n = F.col(C.ANGLERS)
-    for zone, most in rules.boat_limits:
-        aboard = (F.col(C.ZONE_ID) == zone) & (F.col(C.MODE) == BOAT)
-        df = _capped(df, C.ANGLERS, aboard & (n > most), rules.reset, flag)
-    return _capped(df, C.ANGLERS, (n > rules.limit) | (n <= 0), rules.reset, flag)
+    """Boat limits by zone first, then the general bounds on their result."""
+    n, reset = F.col(C.ANGLERS), F.lit(float(rules.reset))
+    crowded = reduce(
+        lambda a, b: a | b,
+        ((F.col(C.ZONE_ID) == zone) & (n > most) for zone, most in rules.boat_limits),
+    )
+    df = _capped(df, C.ANGLERS, (F.col(C.MODE) == BOAT) & crowded, reset, flag)
+    return _capped(df, C.ANGLERS, (n > rules.limit) | (n <= 0), reset, flag)
 
 
 def cap_outliers(df: DataFrame, rules: CleaningRules) -> DataFrame:
@@ -147,9 +152,9 @@ def clean_declarations(
     named = C.normalise_names(raw)
     steps = (
         lambda d: since(d, rules.date_min),
-        with_calendar,
         fix_values,
         lambda d: keep_first_except(d, NOT_COMPARED, C.ROW_ID),
+        with_calendar,
         lambda d: recode_zone(d, rules),
         lambda d: correct(d, rules.corrections),
         lambda d: with_dimension(d, size_limits, [C.SPECIES], [C.SIZE_MAX, C.WEIGHT_MAX]),

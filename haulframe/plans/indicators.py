@@ -152,13 +152,14 @@ def cpue_top_species(df: DataFrame, n: int = TOP_CPUE) -> DataFrame:
     return top_n(totals, "total", names, n)
 
 
-def cpue_by_species(df: DataFrame, mode: str, n: int = TOP_CPUE) -> DataFrame:
+def cpue_by_species(df: DataFrame, mode: str, top: DataFrame | None = None) -> DataFrame:
     """Catch per unit effort per outing and top species, for one mode.
 
+    ``top`` is ``cpue_top_species`` of all modes, by default that of ``df``.
     Species are selected by scientific name; a vernacular name outside the top
     list becomes missing.
     """
-    top = cpue_top_species(df, n)
+    top = cpue_top_species(df) if top is None else top
     names = [C.SPECIES, C.VERNACULAR]
     chosen = present_in(of_mode(df, mode), top, [C.SPECIES])
     effort = _effort(chosen, [C.OUTING, *names, *OUTING_FACTS])

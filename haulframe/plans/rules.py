@@ -32,7 +32,7 @@ class ModeRules:
 @dataclass(frozen=True)
 class CountRules:
     """Above ``cap`` a count becomes ``cap``; what is then still above ``limit``
-    becomes ``reset``, except for schooling species."""
+    becomes ``reset``, except for schooling species. ``reset <= limit < cap``."""
 
     zones: tuple[int, ...]
     cap: float
@@ -41,6 +41,10 @@ class CountRules:
     exempt: tuple[str, ...]
     note: str
 
+    def __post_init__(self):
+        if not self.reset <= self.limit < self.cap:
+            raise ValueError("count rules need reset <= limit < cap")
+
 
 @dataclass(frozen=True)
 class AnglerRules:

@@ -82,29 +82,29 @@ def reference_weight() -> Column:
     def regional(origin: str) -> Column:
         return F.col(origin) == REGIONAL
 
-    ranking = (
-        (one, (
-            (regional("origine_SIH"), W_SIH),
-            (regional("origine_FB"), W_FB),
-            (regional("origine_obs") & obs_ok, W_OBS),
-            (obs_ok, W_OBS),
-            (F.col(W_FB).isNotNull(), W_FB),
-            (F.col(W_SIH).isNotNull(), W_SIH),
-        )),
-        (~one, (
-            (regional("origine_obs") & obs_ok, W_OBS),
-            (regional("origine_FB"), W_FB),
-            (regional("origine_SIH"), W_SIH),
-            (obs_ok, W_OBS),
-            (F.col(W_FB).isNotNull(), W_FB),
-            (F.col(W_SIH).isNotNull(), W_SIH),
-        )),
-    )
-    chain = F
-    for case, choices in ranking:
+    def first_of(*choices) -> Column:
+        chain = F
         for cond, weight in choices:
-            chain = chain.when(case & cond, F.col(weight))
-    return chain
+            chain = chain.when(cond, F.col(weight))
+        return chain
+
+    by_order = (
+        (obs_ok, W_OBS),
+        (F.col(W_FB).isNotNull(), W_FB),
+        (F.col(W_SIH).isNotNull(), W_SIH),
+    )
+    single = first_of(
+        (regional("origine_SIH"), W_SIH),
+        (regional("origine_FB"), W_FB),
+        *by_order,
+    )
+    several = first_of(
+        (regional("origine_obs") & obs_ok, W_OBS),
+        (regional("origine_FB"), W_FB),
+        (regional("origine_SIH"), W_SIH),
+        *by_order,
+    )
+    return F.when(one, single).otherwise(several)
 
 
 def ratio_hypotheses(df: DataFrame) -> DataFrame:
@@ -123,59 +123,84 @@ def ratio_hypotheses(df: DataFrame) -> DataFrame:
     })
 
 
-def _fits(ratio: str) -> Column:
-    return F.col(ratio).between(RATIO_LOW, RATIO_HIGH)
+# Readings of a declared weight, in the order in which they are tried.
+READINGS = (
+    (UNKNOWN := "no reference", NO_REFERENCE),
+    (NONE_CAUGHT := "none caught", NO_CATCH),
+    (UNSIZED := "unsized", NO_SIZE),
+    (UNWEIGHED := "unweighed", NO_WEIGHT),
+    (ONE_G := "one fish, g", SINGLE_OK),
+    (ONE_KG := "one fish, kg", SINGLE_KG),
+    (ONE_OFF := "one fish, off", SINGLE_ABERRANT),
+    (ALL_G := "all fish, g", TOTAL_KEPT),
+    (EACH_G := "each fish, g", MEAN_GIVEN),
+    (ALL_KG := "all fish, kg", TOTAL_KG),
+    (EACH_KG := "each fish, kg", SINGLE_KG),
+    (OFF := "off", ABERRANT),
+)
+READING = "_reading"
+_CODES = {name: code for code, (name, _) in enumerate(READINGS, 1)}
+
+
+def _is(*names: str) -> Column:
+    return F.col(READING).isin([_CODES[n] for n in names])
+
+
+def reading() -> Column:
+    """Which reading explains the declared weight, as a position in READINGS.
 
+    Both the diagnosis and the final weight follow from it. Deciding it once
+    keeps the generated code small enough to be compiled to machine code.
+    """
+    n = F.col(C.CATCHES)
+
+    def fits(ratio: str) -> Column:
+        return F.col(ratio).between(RATIO_LOW, RATIO_HIGH)
+
+    def code(name: str) -> Column:
+        return F.lit(_CODES[name])
 
-def _first_match(cases, otherwise: Column) -> Column:
-    chain = F
-    for cond, value in cases:
-        chain = chain.when(cond, value)
-    return chain.otherwise(otherwise)
+    one = F.when(fits(R_MEAN), code(ONE_G)).when(fits(R_MEAN_KG), code(ONE_KG)).otherwise(code(ONE_OFF))
+    several = (
+        F.when(fits(R_TOTAL), code(ALL_G))
+        .when(fits(R_MEAN), code(EACH_G))
+        .when(fits(R_TOTAL_KG), code(ALL_KG))
+        .when(fits(R_MEAN_KG), code(EACH_KG))
+        .otherwise(code(OFF))
+    )
+    return (
+        F.when(F.col(REFERENCE).isNull(), code(UNKNOWN))
+        .when(n == 0, code(NONE_CAUGHT))
+        .when(F.col(C.SIZE) == 0, code(UNSIZED))
+        .when(F.col(C.WEIGHT) == 0, code(UNWEIGHED))
+        .when(n == 1, one)
+        .when(n > 1, several)
+        .otherwise(code(OFF))
+    )
 
 
 def _size_over(margin: float) -> Column:
-    return F.col(C.SIZE_MAX).isNotNull() & (F.col(C.SIZE) > F.col(C.SIZE_MAX) * margin)
+    return F.coalesce(F.col(C.SIZE) > F.col(C.SIZE_MAX) * margin, F.lit(False))
 
 
 def diagnosis() -> Column:
-    n = F.col(C.CATCHES)
-    return _first_match(
-        (
-            (F.col(REFERENCE).isNull(), F.lit(NO_REFERENCE)),
-            (_size_over(DIAGNOSIS_SIZE_MARGIN), F.lit(SIZE_ABERRANT)),
-            (n == 0, F.lit(NO_CATCH)),
-            (F.col(C.SIZE) == 0, F.lit(NO_SIZE)),
-            (F.col(C.WEIGHT) == 0, F.lit(NO_WEIGHT)),
-            ((n == 1) & _fits(R_MEAN), F.lit(SINGLE_OK)),
-            ((n == 1) & _fits(R_MEAN_KG), F.lit(SINGLE_KG)),
-            (n == 1, F.lit(SINGLE_ABERRANT)),
-            ((n > 1) & _fits(R_TOTAL), F.lit(TOTAL_KEPT)),
-            ((n > 1) & _fits(R_MEAN), F.lit(MEAN_GIVEN)),
-            ((n > 1) & _fits(R_TOTAL_KG), F.lit(TOTAL_KG)),
-            ((n > 1) & _fits(R_MEAN_KG), F.lit(SINGLE_KG)),
-        ),
-        F.lit(ABERRANT),
-    )
+    """Text of the reading; an impossible size goes before all but the lack of
+    a reference."""
+    texts = F.array(*(F.lit(text) for _, text in READINGS))
+    return F.when(
+        _size_over(DIAGNOSIS_SIZE_MARGIN) & ~_is(UNKNOWN), F.lit(SIZE_ABERRANT)
+    ).otherwise(F.element_at(texts, F.col(READING)))
 
 
 def final_weight() -> Column:
-    n, grams = F.col(C.CATCHES), F.col(C.WEIGHT)
-    kilos_as_grams, predicted = grams * 1000, F.col(REFERENCE)
-    return _first_match(
-        (
-            (predicted.isNull(), grams),
-            (_size_over(RATIO_SIZE_MARGIN), grams),
-            (n == 0, F.lit(None).cast("double")),
-            (F.col(C.SIZE) == 0, grams),
-            (grams == 0, predicted),
-            ((n == 1) & _fits(R_MEAN), grams),
-            ((n == 1) & _fits(R_MEAN_KG), kilos_as_grams),
-            (n == 1, predicted),
-            ((n > 1) & (_fits(R_TOTAL) | _fits(R_MEAN)), grams),
-            ((n > 1) & (_fits(R_TOTAL_KG) | _fits(R_MEAN_KG)), kilos_as_grams),
-        ),
-        predicted,
+    """Declared grams, declared kilograms as grams, or the predicted weight."""
+    grams = F.col(C.WEIGHT)
+    return (
+        F.when(_is(UNKNOWN) | _size_over(RATIO_SIZE_MARGIN), grams)
+        .when(_is(NONE_CAUGHT), F.lit(None).cast("double"))
+        .when(_is(UNSIZED, ONE_G, ALL_G, EACH_G), grams)
+        .when(_is(ONE_KG, ALL_KG, EACH_KG), grams * 1000)
+        .otherwise(F.col(REFERENCE))
     )
 
 
@@ -207,7 +232,8 @@ def with_coefficients(df: DataFrame, coefficients: DataFrame) -> DataFrame:
 def correct_weights(df: DataFrame, coefficients: DataFrame) -> DataFrame:
     df = relation_facts(theoretical_weights(with_coefficients(df, coefficients)))
     df = ratio_hypotheses(df.withColumn(REFERENCE, reference_weight()))
-    df = df.withColumns({DIAGNOSIS: diagnosis(), C.FINAL_WEIGHT: final_weight()})
+    df = df.withColumn(READING, reading())
+    df = df.withColumns({DIAGNOSIS: diagnosis(), C.FINAL_WEIGHT: final_weight()}).drop(READING)
     return drop_impossible(df).withColumn(C.LINE_WEIGHT, line_weight())
 
 
