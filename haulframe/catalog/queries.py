@@ -393,7 +393,7 @@ def zone_pressure(spark, sf):
 
 @query
 def zone_pressure_species(spark, sf):
-    p = zones.pressure(T.catches(spark, sf), "Brand#7 STANDARD")
+    p = zones.pressure(T.catches(spark, sf), "Brand#12 PROMO")
     return p.withColumnRenamed(C.SUBZONE, "subzone")
 
 
@@ -446,8 +446,8 @@ def _box_columns(df: DataFrame, **groups) -> DataFrame:
 @query
 def boxplot_summary(spark, sf):
     d = filters.determinable_mode(T.outing_lines(spark, sf))
-    d = d.withColumn("cpue", F.col("l_extendedprice") / F.col("l_quantity"))
-    return _box_columns(order_stats.boxplot(d, [C.MODE], "cpue"), mode=C.MODE)
+    d = d.withColumn("effort", F.sqrt("l_extendedprice"))
+    return _box_columns(order_stats.boxplot(d, [C.MODE], "effort"), mode=C.MODE)
 
 
 @query

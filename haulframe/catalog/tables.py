@@ -101,7 +101,7 @@ def with_angler(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_outing(df: DataFrame) -> DataFrame:
     """Mode, zone label and outing id; an angler has one session per month."""
     return df.withColumns({
-        C.SESSION: F.date_trunc("month", C.SESSION).cast("timestamp_ntz"),
+        C.SESSION: F.trunc(C.SESSION, "month").cast("timestamp_ntz"),
         C.ZONE: F.coalesce(C.ZONE, F.lit(DEFAULT_ZONE)),
         C.MODE: fishing_mode(MODES),
     }).withColumns({C.MONTH: F.month(C.SESSION), C.OUTING: outing_key()})
