@@ -1,0 +1,97 @@
+"""Raw exports, reference tables and the cleaned sink."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from haulframe.sources import columns as C
+from haulframe.sources import dimensions, exports
+
+HEADER = "Id_Prise;Heure debut session;Taille (mm);Poids (g);NomVernaculaire;Nb de prises;ID_ZoneDePeche;autre colonne"
+
+
+def write(path, rows, banner=("Export; du jour", "2;lignes;de texte"), header=HEADER, bom=""):
+    path.write_text(bom + "\n".join([*banner, header, *rows]) + "\n", encoding="utf-8")
+    return str(path)
+
+
+def test_scan(spark, tmp_path):
+    f = write(tmp_path / "a.csv", [
+        '#12;2025-03-01 08:00:00; 120.5 ;-30;"Sar; commun";2;7;x',
+        "13;2025-03-02 09:30:00;NA;;  Girelle paon ;;-1;NA",
+        "",
+        '14;;"";5;"";1;;\\',
+    ], bom="﻿")
+    d = exports.read_export(spark, f)
+    rows = d.orderBy(C.ROW_ID).collect()
+    assert [r["Id_Prise"] for r in rows] == ["#12", "13", "14"]
+    assert rows[0]["Heure debut session"] == dt.datetime(2025, 3, 1, 8)
+    assert rows[0]["NomVernaculaire"] == "Sar; commun" and rows[1]["NomVernaculaire"] == "Girelle paon"
+    assert rows[0]["Taille (mm)"] == 120.5 and rows[1]["Taille (mm)"] is None and rows[2]["Taille (mm)"] is None
+    assert rows[1]["Poids (g)"] is None and rows[1]["Nb de prises"] is None and rows[1]["autre colonne"] is None
+    assert rows[2]["NomVernaculaire"] is None and rows[2]["autre colonne"] == "\\"
+    assert C.normalise_names(d).columns[1:5] == ["Id_Prise", C.SESSION, C.SIZE, C.WEIGHT]
+
+
+def test_many_files_and_splits(spark, tmp_path):
+    for i in range(5):
+        write(tmp_path / f"f{i}.csv", [f"{i * 1000 + j};2025-01-01 00:00:00;1;1;é{j};1;1;" for j in range(400)])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        d = exports.read_export(spark, str(tmp_path))
+        rows = d.select(F.col("Id_Prise").cast("int").alias("n"), C.ROW_ID).collect()
+        assert d.rdd.getNumPartitions() > 5
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(r.n for r in rows) == [i * 1000 + j for i in range(5) for j in range(400)]
+    for i in range(5):  # file order inside each file
+        one = sorted((r[C.ROW_ID], r.n) for r in rows if r.n // 1000 == i)
+        assert [n for _, n in one] == sorted(n for _, n in one)
+
+
+def test_wrong_headers(spark, tmp_path):
+    write(tmp_path / "a.csv", ["1;2025-01-01 00:00:00;1;1;a;1;1;"] * 50)
+    write(tmp_path / "b.csv", ["1;2"], header="Id_Prise;Poids (g)")
+    with pytest.raises(Exception, match="another header"):
+        exports.read_export(spark, str(tmp_path)).collect()
+    with pytest.raises(C.MissingColumnsError):
+        exports.read_export(spark, write(tmp_path / "c.txt", [], banner=(), header="only"))
+    with pytest.raises(C.MissingColumnsError, match="repeats"):
+        exports.read_export(spark, write(tmp_path / "d.txt", ["1;2"], header="a;a"))
+    with pytest.raises(C.MissingColumnsError, match="Poids"):
+        C.require_columns(spark.createDataFrame([(1,)], "x int"), C.RAW_REQUIRED)
+    with pytest.raises(ValueError):
+        C.require_rows(spark.createDataFrame([], "x int"))
+
+
+def test_reference_tables(spark, tmp_path):
+    f = tmp_path / "coef.csv"
+    f.write_text(
+        "NomScientifique,a_obs,b_obs,origine_obs,Taille_min_ratio,Taille_max_ratio,ratio_robuste,a_FB,b_FB,origine_FB,a_SIH,b_SIH,origine_SIH\n"
+        "Species one,23.5,NA,med,156,156,FALSE,3e-4,3.085,hors med,3.676e-6,3.2,hors med\n"
+        "Species two,NA,NA,NA,NA,NA,NA,0.025,3.02,med,NA,NA,NA\n"
+    )
+    one, two = dimensions.read_coefficients(spark, str(f)).orderBy(C.ROW_ID).collect()
+    assert one.a_FB == 3e-4 and one.b_obs is None and one.ratio_robuste is False
+    assert two.a_obs is None and two.origine_FB == "med" and two.ratio_robuste is None
+    p = str(tmp_path / "limits.parquet")
+    spark.createDataFrame([("s", "v", 1.0, None, 3.0)], dimensions.SIZE_LIMIT_SCHEMA).write.parquet(p)
+    assert dimensions.read_size_limits(spark, p).first()[C.LEGAL_SIZE] == 3.0
+    z = tmp_path / "zones.csv"
+    z.write_text("Id_Zone_su,geometry\nCap Béar - 1,POLYGON\n")
+    row = dimensions.read_zones(spark, str(z), "banyuls", "Id_Zone_su", strip_suffix=True).first()
+    assert (row.site, row[C.SUBZONE], row.geometry) == ("banyuls", "Cap Béar", "POLYGON")
+    assert dimensions.read_zones(spark, str(z), "calanques", "Id_Zone_su", strip_suffix=False).first()[C.SUBZONE] == "Cap Béar - 1"
+
+
+def test_sink_prunes_years(spark, tmp_path):
+    out = str(tmp_path / "cleaned")
+    d = spark.createDataFrame([(2025, 1), (2026, 2), (2026, 3)], f"{C.YEAR} int, x int")
+    exports.write_declarations(d, out)
+    back = exports.read_declarations(spark, out).where(F.col(C.YEAR) == 2026)
+    assert sorted(r.x for r in back.collect()) == [2, 3]
+    assert "PartitionFilters: [isnotnull(annee" in back._jdf.queryExecution().toString()
