@@ -16,15 +16,26 @@ def whole_count(c: Column) -> Column:
     )
 
 
+BLOCK = 1024
+
+
 def uncount(df: DataFrame, weight: str) -> DataFrame:
     """One row per counted item; the count column is dropped, count 0 vanishes.
 
-    The statistics in this package never need it: they take the count as a
-    weight, so the table is not multiplied.
+    Rows are generated block by block, so no array grows with the count. The
+    statistics in this package never need this operator: they take the count as
+    a weight, so the table is not multiplied.
     """
-    copies = F.explode(F.array_repeat(F.lit(0), whole_count(F.col(weight))))
     kept = [c for c in df.columns if c != weight]
-    return df.where(F.col(weight).isNotNull()).select(*kept, copies.alias("_copy")).drop("_copy")
+    starts = F.when(F.col("_n") > 0, F.sequence(F.lit(0), F.col("_n") - 1, F.lit(BLOCK)))
+    size = F.least(F.lit(BLOCK), F.col("_n") - F.col("_start"))
+    return (
+        df.where(F.col(weight).isNotNull())
+        .select(*kept, whole_count(F.col(weight)).alias("_n"))
+        .withColumn("_start", F.explode(starts))
+        .select(*kept, F.explode(F.array_repeat(F.lit(0), size)).alias("_item"))
+        .drop("_item")
+    )
 
 
 def to_long(

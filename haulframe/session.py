@@ -12,6 +12,7 @@ SETTINGS = {
     # re-plan joins by measured sizes, split skewed join partitions, merge small ones
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     # a side is broadcast only when its measured size is below this

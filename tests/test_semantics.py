@@ -103,6 +103,9 @@ def test_missing_keys_match(spark):
 def test_uncount(spark):
     d = spark.createDataFrame([("a", 2.0), ("b", 0.0), ("c", None)], "k string, n double")
     assert [tuple(r) for r in reshape.uncount(d, "n").collect()] == [("a",), ("a",)]
+    many = spark.createDataFrame([("a", 1023.0), ("b", 1024.0), ("c", 1025.0), ("d", 5000.0), ("e", 0.0)], "k string, n double")
+    got = {r.k: r["count"] for r in reshape.uncount(many, "n").groupBy("k").count().collect()}
+    assert got == {"a": 1023, "b": 1024, "c": 1025, "d": 5000}
     for bad in (-1.0, 1.5):
         with pytest.raises(Exception, match="not a repeat count"):
             reshape.uncount(spark.createDataFrame([("a", bad)], "k string, n double"), "n").collect()
