@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulframe.sources import columns as C
 
 
+def _midnight(day: str) -> Column:
+    """Zone-less, so neither Python's nor the session's time zone matters."""
+    return F.lit(f"{day} 00:00:00").cast("timestamp_ntz")
+
+
 def since(df: DataFrame, day: str, ts: str = C.SESSION) -> DataFrame:
     """Rows that start on or after ``day``; rows without a start are dropped."""
-    return df.where(F.col(ts) >= F.lit(dt.datetime.fromisoformat(day)).cast("timestamp_ntz"))
+    return df.where(F.col(ts) >= _midnight(day))
 
 
 def in_year(df: DataFrame, year: int | None, ts: str | None = None) -> DataFrame:
@@ -27,8 +31,9 @@ def in_year(df: DataFrame, year: int | None, ts: str | None = None) -> DataFrame
         return df
     if ts is None:
         return df.where(F.col(C.YEAR) == year)
-    start, end = (F.lit(dt.datetime(y, 1, 1)).cast("timestamp_ntz") for y in (year, year + 1))
-    return df.where((F.col(ts) >= start) & (F.col(ts) < end))
+    return df.where(
+        (F.col(ts) >= _midnight(f"{year:04d}-01-01")) & (F.col(ts) < _midnight(f"{year + 1:04d}-01-01"))
+    )
 
 
 def in_months(df: DataFrame, months: Iterable[str], column: str = C.MONTH) -> DataFrame:

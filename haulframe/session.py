@@ -21,6 +21,18 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+TASK_BYTES = 128 * 1024 * 1024
+
+
+def settings_for(input_bytes: int) -> dict[str, str]:
+    """``SETTINGS`` with as many shuffle partitions as the input needs.
+
+    Adaptive execution merges partitions that turn out small, but cannot split
+    the ranges of a sort, so the starting number has to be large enough.
+    """
+    partitions = min(max(-(-input_bytes // TASK_BYTES), 200), 200_000)
+    return {**SETTINGS, "spark.sql.shuffle.partitions": str(partitions)}
+
 
 def build_session(name: str, master: str | None = None, **more: str) -> SparkSession:
     builder = SparkSession.builder.appName(name)
