@@ -1,8 +1,9 @@
-"""Reliable checkpoints in the folder that the cluster names."""
+"""Intermediate tables in the folder that the cluster names."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +28,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` computed once and read back; survives the loss of executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` computed once, written to shared storage and read back.
+
+    A Parquet table instead of a checkpointed RDD: later steps read only the
+    columns they need, and Spark knows the table's size when it plans joins.
+    The lineage ends here, so a lost executor costs no more than a re-read.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
