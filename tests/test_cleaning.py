@@ -98,6 +98,26 @@ def test_angler_caps(spark):
         assert (r[C.ANGLERS], r.flag) == (row.n, row.flag), (zone, mode, n)
 
 
+def test_caps_are_stable_and_ignore_row_order(spark):
+    r = random.Random(11)
+    number = [None, 0.0, 5.0, 101.0, 151.0, 400.0]
+    rows = [
+        (i, r.choice([1, 2, 4, 7, 8, None]), r.choice(["Bateau", "Bord", None]), r.choice(["Girelle", "Sar", None]),
+         r.choice(number), r.choice(number), r.choice(number), r.choice([None, 0.0, 3.0, 9.0, 14.0, 40.0]), r.choice([None, "x"]))
+        for i in range(500)
+    ]
+    d = spark.createDataFrame(
+        rows, f"i int, {C.ZONE_ID} long, {C.MODE} string, {C.VERNACULAR} string, {C.CATCHES} double, `{C.KEPT}` double, "
+        f"`{C.RELEASED}` double, `{C.ANGLERS}` double, {C.NOTE} string",
+    )
+    once = cleaning.cap_outliers(d, CleaningRules())
+    capped = [C.CATCHES, C.KEPT, C.RELEASED, C.ANGLERS]
+    first = {r.i: r for r in once.collect()}
+    assert first == {r.i: r for r in cleaning.cap_outliers(d.repartition(5), CleaningRules()).collect()}
+    for again in cleaning.cap_outliers(once, CleaningRules()).collect():
+        assert [again[c] for c in capped] == [first[again.i][c] for c in capped]
+
+
 def test_modes(spark):
     cases = [
         ("Chasse SOUS-MARINE", 7, 13, "Sous-marin"), ("à l'indienne", None, None, "Sous-marin"),

@@ -108,3 +108,13 @@ def test_histogram_edges(spark):
     )
     got = order_stats.histogram(d, [], "x", "w", high=F.lit(30.0)).orderBy("class_max").collect()
     assert [(r.class_min, r.class_max, r.n_fish) for r in got] == [(0.0, 10.0, 3), (10.0, 20.0, 7), (20.0, 30.0, 5)]
+
+
+def test_ranges_are_stored_where_the_session_says(spark):
+    from haulframe.operators.checkpoints import checkpoint_dir, stored
+
+    folder = checkpoint_dir(spark)
+    assert spark.conf.get("spark.checkpoint.dir") in folder
+    d = stored(spark.range(3).withColumn("é", F.lit("x")))
+    assert sorted(r.id for r in d.collect()) == [0, 1, 2] and d.columns == ["id", "é"]
+    assert all(folder.removeprefix("file:") in f for f in d.inputFiles())
