@@ -36,17 +36,18 @@ def percent_of_total(df: DataFrame, measure: str, name: str, totals: Sequence[st
 
 
 def ranked_labels(top: DataFrame, measure: str, keys: Sequence[str], label: str) -> DataFrame:
-    """(label, rank) of a top list. A label that repeats fails the job, because
-    an order over labels would then be ambiguous."""
+    """(label, rank) of a top list, without missing labels.
+
+    A label that repeats fails the job, because an order over labels would then
+    be ambiguous. The windows only see the list.
+    """
     place = F.row_number().over(Window.orderBy(*largest_first(measure, keys)))
     same = F.count(F.lit(1)).over(Window.partitionBy(label))
-    checked = F.when(
-        same > 1, F.raise_error(F.concat(F.lit("label repeats in the top list: "), F.col(label))).cast("int")
-    ).otherwise(F.col("species_rank"))
+    repeated = F.raise_error(F.concat(F.lit("label repeats in the top list: "), F.col(label)))
     return (
-        top.withColumn("species_rank", place)
-        .withColumn("species_rank", checked)
-        .select(label, "species_rank")
+        top.withColumn("_place", place)
+        .where(F.col(label).isNotNull())
+        .select(label, F.when(same > 1, repeated.cast("int")).otherwise(F.col("_place")).alias("species_rank"))
     )
 
 

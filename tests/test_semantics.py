@@ -123,6 +123,8 @@ def test_top_order_ties_and_labels(spark):
     ranked = top.ranked_labels(top.top_n(d, "n", ["k"], 2), "n", ["k"], "k")
     got = {r.k: r.species_rank for r in top.in_label_order(d.where("k = 'a' OR k = 'c'"), ranked, "k").collect()}
     assert got == {"a": 2, None: None}
+    with_missing = top.ranked_labels(top.top_n(d, "n", ["k"], 4), "n", ["k"], "k")
+    assert sorted((r.k, r.species_rank) for r in with_missing.collect()) == [("a", 2), ("b", 3), ("d", 1)]
     twice = spark.createDataFrame([("s1", "x", 2.0), ("s2", "x", 1.0)], "s string, k string, n double")
     with pytest.raises(Exception, match="label repeats"):
         top.ranked_labels(twice, "n", ["s", "k"], "k").collect()
