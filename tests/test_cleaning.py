@@ -148,6 +148,13 @@ def test_keep_first(spark):
         assert dedupe.keep_first_except(got, ["photo"], C.ROW_ID).count() == len(want)
 
 
+def test_keep_first_compares_numbers_by_value(spark):
+    d = spark.createDataFrame(
+        [(0, 0.0), (1, -0.0), (2, float("nan")), (3, -float("nan")), (4, None), (5, None)], "_row_id long, x double"
+    ).repartition(3)
+    assert sorted(r._row_id for r in dedupe.keep_first(d, ["x"], C.ROW_ID).collect()) == [0, 2, 4]
+
+
 def test_copies_are_merged_before_the_shuffle(spark):
     """A row that makes up nearly all the data crosses the shuffle once per task."""
     d = spark.range(0, 40_000, 1, 4).select(
