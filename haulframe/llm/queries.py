@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haulframe.llm import chat, decontaminate, sharding, token_counts, warc
+from haulframe.llm import chat, decontaminate, mil, packing, quality_rules, sharding, token_counts, warc
 from haulframe.llm.storage import new_path
 
 
@@ -31,6 +31,26 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("items")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mil.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def pack(docs: DataFrame) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(
+        docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    )
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("n_lines")
+
+
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.hilbert_shards(table(spark, sf_dir, "documents"), shards=16)
 
@@ -53,7 +73,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_decontaminate": op2_decontaminate,
+    "op3_quality": op3_quality,
+    "op5_packing": op5_packing,
     "op6_shards": op6_shards,
+    "op7_quality_rules": op7_quality_rules,
     "op9_token_counts": op9_token_counts,
     "op10_chat": op10_chat,
 }
