@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haulframe.llm import chat, decontaminate, mil, packing, quality_rules, sharding, token_counts, warc
+from haulframe.llm import chat, decontaminate, mil, near_dedup, packing, quality_rules, sharding, token_counts, warc
 from haulframe.llm.storage import new_path
 
 
@@ -70,6 +70,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_back(chat.render(chat.fold_events(log))))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80).drop("key")
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_decontaminate": op2_decontaminate,
@@ -77,6 +81,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_shards": op6_shards,
     "op7_quality_rules": op7_quality_rules,
+    "op8_near_dedup": op8_near_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_chat": op10_chat,
 }
