@@ -25,17 +25,9 @@ from pyspark.sql import functions as F
 
 from haulframe.llm.components import connected_components
 from haulframe.llm.minhash import agreement, branch, least_agreement
-from haulframe.llm.storage import stored
+from haulframe.llm.storage import bounded, stored
 
 SMALL = 64
-#: Rows (of two numbers) of a checked table that may be broadcast.
-BROADCAST_ROWS = 1_000_000
-
-
-def bounded(df: DataFrame) -> DataFrame:
-    """A stored table, marked for broadcast if its counted rows are few."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
 
 def _meeting(members: DataFrame) -> DataFrame:
     """Members of nodes with two members at least: node, rid, pivot, n.

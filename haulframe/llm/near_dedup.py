@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haulframe.llm.links import bounded, similar_components
+from haulframe.llm.links import similar_components
 from haulframe.llm.minhash import leaves, signatures
 from haulframe.llm.numtext import LOWER, Words, chunks
-from haulframe.llm.storage import stored
+from haulframe.llm.storage import bounded, stored
 
 NUMBERS = 96
 TREES = 12

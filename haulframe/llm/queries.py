@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from haulframe.llm import chat, decontaminate, mil, near_dedup, packing, quality_rules, sharding, token_counts, warc
+from haulframe.llm import chat, decontaminate, line_dedup, mil, near_dedup, packing, quality_rules, sharding, token_counts, warc
 from haulframe.llm.storage import new_path
 
 
@@ -35,6 +36,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mil.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its lines that are not blank, and the numbers of those that go."""
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), "dropped", "emptied")
+
+
 def pack(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
@@ -78,6 +85,7 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op2_decontaminate": op2_decontaminate,
     "op3_quality": op3_quality,
+    "op4_line_dedup": op4_line_dedup,
     "op5_packing": op5_packing,
     "op6_shards": op6_shards,
     "op7_quality_rules": op7_quality_rules,

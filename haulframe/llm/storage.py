@@ -12,6 +12,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows (of a key and a few numbers) of a counted table that may be broadcast.
+BROADCAST_ROWS = 1_000_000
 
 _own: dict[str, str] = {}
 
@@ -42,6 +46,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """A stored table, marked for broadcast if its counted rows are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table written by ``new_path`` or ``stored`` (any Hadoop file system)."""
     jvm = spark.sparkContext._jvm
