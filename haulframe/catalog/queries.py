@@ -7,9 +7,8 @@ the SQL of the same name in ``oracle``.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from haulframe.catalog import tables as T
@@ -20,7 +19,7 @@ from haulframe.operators import dedupe, filters, joins, order_stats, outings, re
 from haulframe.plans import cleaning, indicators, sizes, weights, zones
 from haulframe.plans.rules import BOAT
 from haulframe.sources import columns as C
-from haulframe.sources import exports
+from haulframe.sources import dimensions, exports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -62,6 +61,64 @@ def export_parse(spark, sf):
     )
 
 
+@query
+def export_scan(spark, sf):
+    """Every declaration as an export of its own: two banner lines, a header and two rows."""
+    fields = {
+        "Id_Prise": F.concat(F.lit("#"), "l_orderkey"),
+        "Heure debut session": F.date_format(C.SESSION, "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+        "Durée de la session": F.coalesce(F.nullif(F.round(C.DURATION), F.lit(0.0)).cast("string"), F.lit("NA")),
+        "Nb de prises": F.col(C.CATCHES).cast("string"),
+        "ID_ZoneDePeche": F.coalesce(F.col(C.ZONE_ID).cast("string"), F.lit("")),
+    }
+    second = {**fields, "Nb de prises": (F.col(C.CATCHES) + 1).cast("string")}
+    header = ";".join(fields)
+    opening = [F.lit("Export; of the day"), F.lit("two;lines;of text"), F.lit(header)]
+    rows = [F.concat_ws(";", *f.values()) for f in (fields, second)]
+    files = T.lines(spark, sf).select(F.col(C.ROW_ID).cast("string").alias("file"), F.explode(F.array(*opening, *rows)).alias("value"))
+    metadata = F.struct(F.col("file").alias("file_path"), F.lit(0).cast("bigint").alias("file_block_start"))
+    parsed = C.normalise_names(exports.parse_lines(files.select("value", metadata.alias("_metadata")), file_column=C.FILE))
+    place = F.row_number().over(Window.partitionBy(C.FILE).orderBy(C.ROW_ID)) - 1
+    return pick(
+        parsed, catch_id=text.digits_id(C.CATCH_ID), session_start=C.SESSION, duration=C.DURATION, n_catch=C.CATCHES,
+        place=place, zone=C.ZONE_ID,
+    )
+
+
+def _written(df: DataFrame, schema: str) -> DataFrame:
+    """A table as the text lines of its file."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    columns = [F.coalesce(F.col(n).cast("string"), F.lit("NA")) if n in df.columns else F.lit("NA") for n in names]
+    return df.select(F.concat_ws(" , ", *columns).alias("value"))
+
+
+@query
+def coefficient_scan(spark, sf):
+    lines = _written(T.coefficients(spark, sf), dimensions.COEFFICIENT_SCHEMA)
+    d = dimensions.parse_table(lines, dimensions.COEFFICIENT_SCHEMA)
+    return pick(d, species=C.SPECIES, a="a_FB", b="b_FB", origin="origine_FB", robust="ratio_robuste")
+
+
+@query
+def size_limit_scan(spark, sf):
+    lines = _written(T.size_limits(spark, sf), dimensions.SIZE_LIMIT_SCHEMA)
+    d = dimensions.parse_table(lines, dimensions.SIZE_LIMIT_SCHEMA)
+    return pick(d, species=C.SPECIES, size_max_mm=C.SIZE_MAX, weight_max_g=C.WEIGHT_MAX)
+
+
+@query
+def zone_scan(spark, sf):
+    raw = T.table(spark, sf, "supplier").withColumn("label", F.concat(F.lit(" "), "s_name", F.lit(" - part 1")))
+    d = dimensions.zones_of(raw, "banyuls", "label", strip_suffix=True)
+    return pick(d, site="site", subzone=C.SUBZONE, nation="s_nationkey")
+
+
+@query
+def required_columns(spark, sf):
+    d = C.require_rows(C.require_columns(T.lines(spark, sf), (C.SESSION, C.CATCHES)))
+    return d.agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def zone_key(spark, sf):
     d = T.table(spark, sf, "supplier").withColumn(
@@ -83,18 +140,14 @@ def calendar_parts(spark, sf):
 
 @query
 def null_if_zero(spark, sf):
-    d = T.lines(spark, sf)
-    return d.select(*LINE_KEY, F.nullif(F.round(C.DURATION), F.lit(0.0)).alias("duration"))
+    d = T.lines(spark, sf).withColumn(C.DURATION, F.round(C.DURATION))
+    return d.select(*LINE_KEY, cleaning.value_fixes()[C.DURATION].alias("duration"))
 
 
 @query
 def null_defaults(spark, sf):
-    d = T.lines(spark, sf)
-    return d.select(
-        *LINE_KEY,
-        F.coalesce(F.col(C.NO_KILL), F.lit(0.0)).alias("no_kill"),
-        F.coalesce(C.ZONE, F.lit(T.DEFAULT_ZONE)).alias("zone_name"),
-    )
+    d = cleaning.recode_zone(T.lines(spark, sf), T.RULES)
+    return d.select(*LINE_KEY, cleaning.value_fixes()[C.NO_KILL].alias("no_kill"), F.col(C.ZONE).alias("zone_name"))
 
 
 @query
@@ -105,7 +158,7 @@ def digits_id(spark, sf):
 @query
 def absolute_weight(spark, sf):
     d = T.catches(spark, sf)
-    return d.select(*LINE_KEY, F.round(F.abs(C.WEIGHT), 4).alias("weight_g"))
+    return d.select(*LINE_KEY, F.round(cleaning.value_fixes()[C.WEIGHT], 4).alias("weight_g"))
 
 
 @query
@@ -154,7 +207,7 @@ def mode_cascade(spark, sf):
 def unit_change(spark, sf):
     d = T.catches(spark, sf)
     return d.select(
-        *LINE_KEY, F.round(F.col(C.WEIGHT) / 1000, 2).alias("weight_kg"), (F.col(C.SIZE) / 10).alias("size_cm")
+        *LINE_KEY, indicators.kilograms(F.col(C.WEIGHT)).alias("weight_kg"), indicators.centimetres(C.SIZE).alias("size_cm")
     )
 
 
@@ -203,9 +256,10 @@ def plausibility_filter(spark, sf):
 
 @query
 def active_species(spark, sf):
-    """Species with a relation that occur in the declarations of one year."""
-    d = filters.in_year(T.catches(spark, sf), 1997, "l_shipdate")
-    ref = sizes.length_weight_reference(T.coefficients(spark, sf), d)
+    """Species with a relation that occur in the declarations; half of those with a relation never do."""
+    known = T.coefficients(spark, sf)
+    never = known.withColumn(C.SPECIES, F.concat(C.SPECIES, F.lit(" (never)")))
+    ref = sizes.length_weight_reference(known.unionByName(never), T.catches(spark, sf))
     return pick(ref, species=C.SPECIES, a="a", b="b", origin="origin")
 
 
@@ -281,8 +335,8 @@ def zone_left_join(spark, sf):
 
 @query
 def site_switch(spark, sf):
-    """Zones of the preferred site among those that occur in one year."""
-    d = filters.in_year(T.lines(spark, sf), 1996, "l_shipdate")
+    """Zones of the preferred site among those that occur."""
+    d = T.lines(spark, sf)
     active = zones.zones_of_active_site(T.zones(spark, sf), d)
     joined = zones.on_zones(active, zones.pressure(d))
     return pick(joined, site="site", subzone=C.SUBZONE, total_catch="total_catch", n_lines="n_lines")
@@ -310,6 +364,20 @@ def species_list_corrected(spark, sf):
     return indicators.species_list(corrected).withColumnRenamed(C.VERNACULAR, "vernacular")
 
 
+@query
+def species_order(spark, sf):
+    d = indicators.species_list(weights.with_weight(T.catches(spark, sf)))
+    d = top.with_position(d, indicators.species_order())
+    return pick(d, vernacular=C.VERNACULAR, n_caught="n_caught", position="position")
+
+
+@query
+def month_order(spark, sf):
+    m = indicators.monthly_catch(cleaning.with_calendar(T.lines(spark, sf)))
+    m = top.with_position(m, indicators.month_order())
+    return pick(m, year=C.YEAR, month_number=C.MONTH_NUMBER, position="position")
+
+
 @query
 def monthly_evolution(spark, sf):
     m = indicators.monthly_catch(cleaning.with_calendar(T.lines(spark, sf)))
@@ -405,17 +473,8 @@ def zone_outings(spark, sf):
 @query
 def distinct_lists(spark, sf):
     """The three selectors, as one list with their names."""
-    d = T.declarations(spark, sf)
-    lists = {
-        "year": indicators.choices(d.withColumn(C.YEAR, F.year("l_shipdate")), C.YEAR),
-        "mode": indicators.choices(d, C.MODE, ["Indeterminable"]),
-        "vernacular": indicators.choices(d, C.VERNACULAR),
-    }
-    named = [
-        values.select(F.lit(name).alias("selector"), F.col(values.columns[0]).cast("string").alias("value"))
-        for name, values in lists.items()
-    ]
-    return reduce(DataFrame.unionByName, named)
+    d = T.declarations(spark, sf).withColumn(C.YEAR, F.year("l_shipdate"))
+    return indicators.selector_values(d, {"year": C.YEAR, "mode": C.MODE, "vernacular": C.VERNACULAR}, ["Indeterminable"])
 
 
 @query
@@ -481,6 +540,13 @@ def dedupe_keep_first(spark, sf):
     return dedupe.keep_first(d, ["l_orderkey", "l_linenumber"], others)
 
 
+@query
+def dedupe_key_in_order(spark, sf):
+    """A key that is also an order column stays a key."""
+    d = T.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return dedupe.keep_first(d, ["l_orderkey", "l_linenumber"], ["l_linenumber", "l_partkey"])
+
+
 @query
 def outing_id(spark, sf):
     d = outings.with_outing_labels(T.outing_lines(spark, sf))

@@ -45,7 +45,8 @@ RULES = CleaningRules(
 )
 
 LINE_COLUMNS = {
-    C.ROW_ID: "l_orderkey * 8 + l_linenumber",
+    # one number per row: order, line, part, supplier and quantity together are a key
+    C.ROW_ID: "(((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey) * 64 + CAST(l_quantity AS BIGINT)",
     C.SESSION: "l_shipdate",
     C.ZONE_ID: "CASE WHEN l_suppkey % 10 = 9 THEN NULL WHEN l_suppkey % 10 = 0 THEN -1L ELSE l_suppkey % 10 END",
     C.ZONE: "CASE WHEN l_suppkey % 10 <> 9 THEN concat('Zone ', l_suppkey % 10) END",

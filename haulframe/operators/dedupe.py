@@ -15,11 +15,14 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: str | Sequence[str]) -
     row repeated a billion times sends one row per task, where a ranking window
     would send all copies to one. The leading hash makes the sort-based
     aggregation compare one number in nearly all cases; the full keys still
-    decide equality.
+    decide equality. A key that is also given as order stays a key: it does not
+    vary inside a group.
     """
-    order = [order] if isinstance(order, str) else list(order)
-    keys = [k for k in keys if k not in order]
+    keys = list(keys)
+    order = [o for o in ([order] if isinstance(order, str) else order) if o not in keys]
     others = [c for c in df.columns if c not in keys and c not in order]
+    if not order and not others:
+        return df.select(*df.columns).distinct()
     first = F.min(F.struct(*order, *others)).alias("_first")
     grouped = df.groupBy(F.xxhash64(*keys).alias("_hash"), *keys).agg(first)
     return grouped.select(

@@ -39,4 +39,9 @@ def with_dimension(
 
 
 def present_in(df: DataFrame, active: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return match_missing(df, active.select(*keys), keys, "left_semi")
+    """Rows whose key occurs in ``active``.
+
+    The keys are made distinct first, which combines them before the shuffle: a
+    key that holds most of the active rows sends one row per task.
+    """
+    return match_missing(df, active.select(*keys).distinct(), keys, "left_semi")

@@ -19,6 +19,11 @@ def top_n(df: DataFrame, measure: str, keys: Sequence[str], n: int) -> DataFrame
     return df.orderBy(*largest_first(measure, keys)).limit(n)
 
 
+def with_position(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
+    """Number the rows of a finished, small result in its own order."""
+    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+
+
 def with_total(df: DataFrame, measures: Sequence[str]) -> DataFrame:
     """Add ``_total.<measure>``: sums over the whole result, as one scalar.
 

@@ -38,15 +38,19 @@ def with_calendar(df: DataFrame) -> DataFrame:
     })
 
 
-def fix_values(df: DataFrame) -> DataFrame:
+def value_fixes() -> dict[str, Column]:
     """Zero durations are unknown, no-kill defaults to 0, ids are numbers and
     weights are positive."""
-    return df.withColumns({
+    return {
         C.DURATION: F.nullif(F.col(C.DURATION), F.lit(0.0)),
         C.NO_KILL: F.coalesce(F.col(C.NO_KILL), F.lit(0.0)),
         C.CATCH_ID: digits_id(C.CATCH_ID),
         C.WEIGHT: F.abs(C.WEIGHT),
-    })
+    }
+
+
+def fix_values(df: DataFrame) -> DataFrame:
+    return df.withColumns(value_fixes())
 
 
 def recode_zone(df: DataFrame, rules: CleaningRules) -> DataFrame:

@@ -9,14 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulframe.functions import calendar
-from haulframe.functions.semantics import divide, first_by, if_else3, n_distinct, sum0
+from haulframe.functions.semantics import divide, first_by, if_else3, nan_to_null, sum0
 from haulframe.operators.filters import determinable_mode, in_months, of_mode
 from haulframe.operators.joins import match_missing, present_in
-from haulframe.operators.order_stats import interpolated, ranked_values, share
+from haulframe.operators.order_stats import merged_values, quantiles_of, share
 from haulframe.operators.reshape import to_long
 from haulframe.operators.top import (
     in_label_order, largest_first, percent_of_total, ranked_labels, top_n,
@@ -28,15 +28,26 @@ TOP_CPUE = 10
 
 
 def _kg(grams: str):
-    return F.round(sum0(grams) / 1000, 2)
+    return kilograms(sum0(grams))
+
+
+def kilograms(grams: Column) -> Column:
+    return F.round(grams / 1000, 2)
+
+
+def centimetres(millimetres: str) -> Column:
+    return F.col(millimetres) / 10
 
 
 def key_figures(df: DataFrame) -> DataFrame:
     """Distinct anglers, distinct outings and the total catch, in one row."""
-    return df.agg(
-        n_distinct(C.ANGLER).alias("n_anglers"),
-        n_distinct(C.OUTING).alias("n_outings"),
-        sum0(C.CATCHES).alias("total_catch"),
+    per_outing = df.groupBy(C.OUTING, C.ANGLER).agg(F.sum(C.CATCHES).alias("_catch"))
+    # an outing's key holds its angler, so outings are pairs; anglers need one more step
+    per_angler = per_outing.groupBy(C.ANGLER).agg(F.sum("_catch").alias("_catch"), F.count(F.lit(1)).alias("_outings"))
+    return per_angler.agg(
+        F.count(F.lit(1)).alias("n_anglers"),
+        F.coalesce(F.sum("_outings"), F.lit(0)).alias("n_outings"),
+        sum0("_catch").alias("total_catch"),
     )
 
 
@@ -46,9 +57,11 @@ def species_list(df: DataFrame) -> DataFrame:
         sum0(C.CATCHES).alias("n_caught"), _kg(C.LINE_WEIGHT).alias("biomass_kg")
     )
     shared = percent_of_total(by_species, "n_caught", "percent", ["n_caught", "biomass_kg"])
-    return shared.withColumn("percent", F.round("percent", 2)).orderBy(
-        *largest_first("n_caught", [C.VERNACULAR])
-    )
+    return shared.withColumn("percent", F.round("percent", 2)).orderBy(*species_order())
+
+
+def species_order() -> list[Column]:
+    return largest_first("n_caught", [C.VERNACULAR])
 
 
 def top_species(df: DataFrame, months: Iterable[str] | None = None, n: int = TOP_CATCHES) -> DataFrame:
@@ -68,14 +81,18 @@ def top_species_labelled(
     """``top_species`` with codes and vernacular names; a species that was
     declared under several names gives several rows.
 
-    The names are those among the top species only: the semi join keeps the
-    distinct step small.
+    One pass over the declarations sums by all three names; the species are
+    totals of that small table.
     """
-    top = top_species(df, months, n)
+    C.require_columns(df, C.TOP_REQUIRED)
     if months is not None:
         df = in_months(df, months)
-    names = present_in(df.select(C.SPECIES, C.FAO_CODE, C.VERNACULAR), top, [C.SPECIES]).distinct()
-    return match_missing(top, names, [C.SPECIES]).orderBy(
+    names = df.groupBy(C.SPECIES, C.FAO_CODE, C.VERNACULAR).agg(
+        F.sum(C.CATCHES).alias("_catch"), F.sum(C.LINE_WEIGHT).alias("_weight")
+    )
+    totals = names.groupBy(C.SPECIES).agg(sum0("_catch").alias("total"), _kg("_weight").alias("biomass_kg"))
+    top = top_n(totals, "total", [C.SPECIES], n)
+    return match_missing(top, names.drop("_catch", "_weight"), [C.SPECIES]).orderBy(
         *largest_first("total", [C.SPECIES, C.FAO_CODE, C.VERNACULAR])
     )
 
@@ -86,10 +103,15 @@ def monthly_catch(df: DataFrame) -> DataFrame:
         df.groupBy(C.YEAR, C.MONTH_NUMBER).agg(sum0(C.CATCHES).alias("n_caught"))
         .withColumn(C.MONTH, calendar.month_label_of_number(C.MONTH_NUMBER))
         .select(C.YEAR, C.MONTH_NUMBER, C.MONTH, "n_caught")
-        .orderBy(C.YEAR, C.MONTH_NUMBER)
+        .orderBy(*month_order())
     )
 
 
+def month_order() -> list[Column]:
+    """Calendar order, undated last."""
+    return [F.col(C.YEAR).asc_nulls_last(), F.col(C.MONTH_NUMBER).asc_nulls_last()]
+
+
 def total_catch(df: DataFrame) -> DataFrame:
     return df.agg(sum0(C.CATCHES).alias("total_catch"))
 
@@ -169,14 +191,13 @@ def cpue_by_species(df: DataFrame, mode: str, top: DataFrame | None = None) -> D
 def cpue_summary(effort: DataFrame, measure: str) -> DataFrame:
     """Outings, mean and median of one CPUE measure per species, top order."""
     keys = [C.VERNACULAR, C.SPECIES, "species_rank"]
-    ranked = ranked_values(effort, keys, measure, keep_missing=True)
+    value = nan_to_null(F.col(measure).cast("double"))
+    means = effort.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_outings"), F.round(divide(F.sum(value), F.count(value)), 2).alias("mean")
+    )
+    medians = quantiles_of(merged_values(effort, keys, measure), keys, {"median": 0.5})
     return (
-        ranked.groupBy(*keys)
-        .agg(
-            F.sum("w").cast("bigint").alias("n_outings"),
-            F.round(divide(F.sum(F.col("value") * F.col("w")), F.max("n")), 2).alias("mean"),
-            F.round(interpolated(0.5), 2).alias("median"),
-        )
+        match_missing(means, medians.withColumn("median", F.round("median", 2)), keys)
         .orderBy(F.col("species_rank").asc_nulls_last(), F.col(C.SPECIES).asc_nulls_last())
     )
 
@@ -197,6 +218,16 @@ def biomass_split(df: DataFrame) -> DataFrame:
     )
 
 
+def selector_values(df: DataFrame, columns: dict[str, str], without: Iterable[str] = ()) -> DataFrame:
+    """(selector, value) of several selectors in one pass; missing values and those in ``without`` left out."""
+    pairs = F.array(*(F.struct(F.lit(name).alias("selector"), F.col(c).cast("string").alias("value")) for name, c in columns.items()))
+    values = df.select(F.explode(pairs).alias("p")).select("p.*").where(F.col("value").isNotNull())
+    without = list(without)
+    if without:
+        values = values.where(~F.col("value").isin(without))
+    return values.distinct().orderBy("selector", "value")
+
+
 def choices(df: DataFrame, column: str, without: Iterable[str] = ()) -> DataFrame:
     """Sorted distinct values of a selector, missing left out."""
     values = df.where(F.col(column).isNotNull()).select(column).distinct()

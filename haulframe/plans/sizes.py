@@ -12,9 +12,10 @@ from haulframe.operators.dedupe import keep_first
 from haulframe.operators.filters import plausible_singles, sized
 from haulframe.operators.joins import match_missing, present_in
 from haulframe.operators.order_stats import (
-    histogram, quantiles, quantiles_of, ranked_values, upper_size_bound,
+    histogram, merged_values, quantiles, quantiles_of, upper_size_bound,
 )
 from haulframe.operators.reshape import add_steps, whole_count
+from haulframe.plans.indicators import centimetres
 from haulframe.sources import columns as C
 
 UPPER_QUANTILE = 0.995
@@ -29,27 +30,35 @@ RELATION_ABERRANT = "RTP aberrante"
 RELATION_OK = "RTP ok"
 
 
-def _fish(df: DataFrame) -> DataFrame:
-    """Sized lines with a usable count; the count is used as a weight."""
-    counted = df.where(F.col(C.CATCHES).isNotNull())
-    return sized(counted.withColumn(C.CATCHES, whole_count(F.col(C.CATCHES))))
+def _fish(df: DataFrame, missing_counts: str) -> DataFrame:
+    """Sized lines; the count is used as a weight.
+
+    A missing count fails the job, or is left out with ``missing_counts="skip"``.
+    """
+    if missing_counts not in ("fail", "skip"):
+        raise ValueError(f"unknown: {missing_counts}")
+    count = whole_count(F.col(C.CATCHES))
+    if missing_counts == "fail":
+        missing = F.raise_error(F.lit("a sized line has no count")).cast("int")
+        return sized(df).withColumn(C.CATCHES, F.when(F.col(C.CATCHES).isNull(), missing).otherwise(count))
+    return sized(df.where(F.col(C.CATCHES).isNotNull()).withColumn(C.CATCHES, count))
 
 
 def _bound(found: DataFrame) -> DataFrame:
     return found.withColumn("size_limit", upper_size_bound(F.col("upper_size")).cast("double"))
 
 
-def size_bound(df: DataFrame, groups: Sequence[str] = (C.VERNACULAR,)) -> DataFrame:
+def size_bound(df: DataFrame, groups: Sequence[str] = (C.VERNACULAR,), missing_counts: str = "fail") -> DataFrame:
     """99.5 % quantile of size over single fish, and the axis end above it."""
-    return _bound(quantiles(_fish(df), groups, C.SIZE, {"upper_size": UPPER_QUANTILE}, C.CATCHES))
+    return _bound(quantiles(_fish(df, missing_counts), groups, C.SIZE, {"upper_size": UPPER_QUANTILE}, C.CATCHES))
 
 
-def size_histogram(df: DataFrame, groups: Sequence[str] = (C.VERNACULAR,)) -> DataFrame:
+def size_histogram(df: DataFrame, groups: Sequence[str] = (C.VERNACULAR,), missing_counts: str = "fail") -> DataFrame:
     """Fish per 10 mm class up to the size bound of their group."""
     groups = list(groups)
-    ranked = ranked_values(_fish(df), groups, C.SIZE, C.CATCHES)
-    limit = _bound(quantiles_of(ranked, groups, {"upper_size": UPPER_QUANTILE}))
-    per_size = match_missing(ranked, limit.select(*groups, "size_limit"), groups, "inner")
+    values = merged_values(_fish(df, missing_counts), groups, C.SIZE, C.CATCHES)
+    limit = _bound(quantiles_of(values, groups, {"upper_size": UPPER_QUANTILE}))
+    per_size = match_missing(values, limit.select(*groups, "size_limit"), groups, "inner")
     return histogram(per_size, groups, "value", "w", high=F.col("size_limit"))
 
 
@@ -88,7 +97,7 @@ def length_weight_points(df: DataFrame, reference: DataFrame) -> DataFrame:
     A predicted weight of 0 is an infinite deviation, so such points are
     aberrant without a division.
     """
-    points = plausible_singles(df).withColumn("size_cm", F.col(C.SIZE) / 10)
+    points = plausible_singles(df).withColumn("size_cm", centimetres(C.SIZE))
     points = points.withColumn("odd_value", (F.col("size_cm") == 0) | (F.col(C.WEIGHT) == 0))
     points = match_missing(points, reference, [C.SPECIES]).withColumn(
         "predicted_g", F.col("a") * power("size_cm", "b")

@@ -27,10 +27,10 @@ TASK_BYTES = 128 * 1024 * 1024
 def settings_for(input_bytes: int) -> dict[str, str]:
     """``SETTINGS`` with as many shuffle partitions as the input needs.
 
-    Adaptive execution merges partitions that turn out small, but cannot split
-    the ranges of a sort, so the starting number has to be large enough.
+    Adaptive execution merges partitions that turn out small, so the number
+    follows the input without a limit.
     """
-    partitions = min(max(-(-input_bytes // TASK_BYTES), 200), 200_000)
+    partitions = max(-(-input_bytes // TASK_BYTES), 200)
     return {**SETTINGS, "spark.sql.shuffle.partitions": str(partitions)}
 
 

@@ -52,6 +52,10 @@ LINE_WEIGHT = "poids_final_total"
 
 # Position of a row in its export; every "first row" rule orders by it.
 ROW_ID = "_row_id"
+# Path of the export a row comes from, where several are read as one.
+FILE = "_file"
+# Text of a line that could not be read as a row.
+UNREADABLE = "_unreadable"
 
 # Raw header -> type. Columns not listed are read as text.
 RAW_TYPES: dict[str, T.DataType] = {

@@ -21,18 +21,27 @@ SIZE_LIMIT_SCHEMA = (
 )
 
 
+# Text conventions of the reference tables.
+CSV_OPTIONS = {"nullValue": "NA", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "mode": "FAILFAST"}
+
+
 def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """CSV or Parquet with a fixed layout, plus the row position."""
     if path.rstrip("/").endswith(".parquet"):
+        names = [f.split()[0] for f in schema.split(", ")]
+        C.require_columns(spark.read.parquet(path), names)
         table = spark.read.schema(schema).parquet(path)
     else:
-        table = spark.read.schema(schema).csv(
-            path, header=True, nullValue="NA", enforceSchema=False,
-            ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True,
-        )
+        table = spark.read.schema(schema).csv(path, header=True, enforceSchema=False, **CSV_OPTIONS)
     return table.withColumn(C.ROW_ID, F.monotonically_increasing_id())
 
 
+def parse_table(lines: DataFrame, schema: str) -> DataFrame:
+    """Rows of a reference table from text lines without a header; other columns are kept."""
+    parsed = lines.withColumn("_r", F.from_csv("value", schema, CSV_OPTIONS))
+    return parsed.select(*(c for c in lines.columns if c != "value"), "_r.*")
+
+
 def read_coefficients(spark: SparkSession, path: str) -> DataFrame:
     return _table(spark, path, COEFFICIENT_SCHEMA)
 

@@ -1,9 +1,10 @@
-"""Clean every new export file as it arrives.
+"""Clean new export files as they arrive.
 
-An upload is one export, cleaned on its own: its duplicates and its row order
-end with the file. So one micro-batch holds one file, and the cleaning runs on
-it as a normal batch plan. Each batch overwrites its own output folder, which
-makes a batch that is repeated after a failure harmless.
+An upload is one export, cleaned on its own: its duplicates and its row order end
+with the file. The file's path is therefore a column of every row, which makes it
+part of what rows are compared by. A batch holds all files that wait and is cleaned
+by a normal batch plan. Each batch overwrites its own output folder, which makes a
+batch that is repeated after a failure harmless.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from haulframe.plans.cleaning import clean_declarations
 from haulframe.plans.rules import CleaningRules
+from haulframe.sources import columns as C
 from haulframe.sources.exports import BANNER_LINES, parse_lines, write_declarations
 
 UPLOAD = "upload"
@@ -33,18 +35,15 @@ def start_cleaning(
     ``progress`` is the stream's checkpoint folder and must be shared storage.
     ``only_waiting`` stops after the files that are already there.
     """
-    lines = (
-        spark.readStream.option("maxFilesPerTrigger", 1).text(incoming)
-        .select("value", "_metadata")
-    )
+    lines = spark.readStream.text(incoming).select("value", "_metadata")
 
-    def clean_one(batch: DataFrame, number: int) -> None:
-        raw = parse_lines(batch, banner_lines)
+    def clean_batch(batch: DataFrame, number: int) -> None:
+        raw = parse_lines(batch, banner_lines, file_column=C.FILE)
         write_declarations(
-            clean_declarations(raw, size_limits, rules), f"{cleaned}/{UPLOAD}={number}"
+            clean_declarations(raw, size_limits, rules), f"{cleaned}/{UPLOAD}={number}", "overwrite"
         )
 
-    writer = lines.writeStream.foreachBatch(clean_one).option("checkpointLocation", progress)
+    writer = lines.writeStream.foreachBatch(clean_batch).option("checkpointLocation", progress)
     if only_waiting:
         writer = writer.trigger(availableNow=True)
     return writer.start()

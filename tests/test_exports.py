@@ -34,6 +34,46 @@ def test_scan(spark, tmp_path):
     assert C.normalise_names(d).columns[1:5] == ["Id_Prise", C.SESSION, C.SIZE, C.WEIGHT]
 
 
+IRREGULAR = {
+    "another date order": "1;01/03/2025 08:00;1;1;a;1;1;",
+    "no number": "2;2025-03-01 08:00:00;much;1;a;1;1;",
+    "too short": "3;2025-03-01 08:00:00;1",
+    "too long": "4;2025-03-01 08:00:00;1;1;a;1;1;;;",
+    "line break in quotes": '5;2025-03-01 08:00:00;1;1;"a\nb";1;1;',
+}
+
+
+@pytest.mark.parametrize("what", sorted(IRREGULAR))
+def test_unreadable_rows_are_not_lost(spark, tmp_path, what):
+    f = write(tmp_path / "a.csv", ["9;2025-03-01 08:00:00;1;1;a;1;1;", IRREGULAR[what]])
+    with pytest.raises(Exception, match="unreadable row"):
+        exports.read_export(spark, f).select("Id_Prise").collect()
+    marked = exports.read_export(spark, f, unreadable="mark").collect()
+    assert [r["Id_Prise"] for r in marked if r[C.UNREADABLE] is None] == ["9"]
+    assert [r[C.UNREADABLE] for r in marked if r[C.UNREADABLE] is not None] == IRREGULAR[what].split("\n")
+
+
+def test_time_forms(spark, tmp_path):
+    forms = ["2025-03-01 08:00:00", "2025-03-01T08:00:00Z", "2025-03-01T08:00:00+01:00", "2025-03-01 08:00"]
+    f = write(tmp_path / "a.csv", [f"{i};{t};1;1;a;1;1;" for i, t in enumerate(forms)])
+    assert {r["Heure debut session"] for r in exports.read_export(spark, f).collect()} == {dt.datetime(2025, 3, 1, 8)}
+
+
+def test_parquet_reference_table_without_a_column(spark, tmp_path):
+    p = str(tmp_path / "limits.parquet")
+    spark.createDataFrame([("s", "v")], "NomScientifique string, NomVernaculaire string").write.parquet(p)
+    with pytest.raises(C.MissingColumnsError, match="Taille_max_mm"):
+        dimensions.read_size_limits(spark, p)
+
+
+def test_files_of_a_batch_stay_apart(spark, tmp_path):
+    for name in "ab":
+        write(tmp_path / f"{name}.csv", ["1;2025-01-01 00:00:00;1;1;a;1;1;"] * 2)
+    lines = spark.read.text(str(tmp_path)).select("value", "_metadata")
+    rows = exports.parse_lines(lines, file_column=C.FILE).select(C.FILE, "Id_Prise").distinct().collect()
+    assert len(rows) == 2
+
+
 def test_many_files_and_splits(spark, tmp_path):
     for i in range(5):
         write(tmp_path / f"f{i}.csv", [f"{i * 1000 + j};2025-01-01 00:00:00;1;1;é{j};1;1;" for j in range(400)])
@@ -91,7 +131,9 @@ def test_reference_tables(spark, tmp_path):
 def test_sink_prunes_years(spark, tmp_path):
     out = str(tmp_path / "cleaned")
     d = spark.createDataFrame([(2025, 1), (2026, 2), (2026, 3)], f"{C.YEAR} int, x int")
-    exports.write_declarations(d, out)
-    back = exports.read_declarations(spark, out).where(F.col(C.YEAR) == 2026)
+    exports.write_declarations(d, out, "errorifexists")
+    with pytest.raises(Exception, match="already exists"):
+        exports.write_declarations(d, out, "errorifexists")
+    back = exports.read_declarations(spark, out, d.schema).where(F.col(C.YEAR) == 2026)
     assert sorted(r.x for r in back.collect()) == [2, 3]
     assert "PartitionFilters: [isnotnull(annee" in back._jdf.queryExecution().toString()

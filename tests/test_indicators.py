@@ -128,10 +128,10 @@ def test_sizes(spark):
         ("v", "s", 3.0, 10.0, 1.0, None, None), ("v", "s", 2.0, 11.0, 1.0, None, None), ("v", "s", 1.0, None, 1.0, None, None),
         ("v", "s", None, 500.0, 1.0, None, None), ("v", "s", 0.0, 500.0, 1.0, None, None), ("v", "s", 1.0, 0.0, 1.0, None, None),
     ])
-    bound = sizes.size_bound(d).first()
+    bound = sizes.size_bound(d, missing_counts="skip").first()
     assert (bound.upper_size, bound.size_limit) == (11.0, 20.0)
     limits = spark.createDataFrame([(0, "v", 10.0), (1, "v", 90.0)], f"{C.ROW_ID} long, {C.VERNACULAR} string, {C.LEGAL_SIZE} double")
-    got = sizes.with_legal_size(sizes.size_histogram(d), limits).orderBy("class_max")
+    got = sizes.with_legal_size(sizes.size_histogram(d, missing_counts="skip"), limits).orderBy("class_max")
     assert rows_of(got.select("class_min", "class_max", "n_fish", "below_min")) == [(0.0, 10.0, 3.0, True), (10.0, 20.0, 2.0, False)]
 
 

@@ -18,6 +18,44 @@ def test_no_python_and_no_pairing(spark, name):
         assert node not in text
 
 
+def test_export_scan_stays_in_the_jvm(spark, tmp_path):
+    from haulframe.sources import exports
+
+    (tmp_path / "a.csv").write_text("one\ntwo\nId_Prise;Poids (g)\n1;2\n")
+    text = exports.read_export(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    for node in ("Python", "Pandas", "InArrow"):
+        assert node not in text
+
+
+@pytest.mark.parametrize("name", ["active_species", "curve", "length_weight_points"])
+def test_active_keys_are_combined_before_the_shuffle(spark, name):
+    """Without broadcasts the side that is only asked for its keys is aggregated below its exchange."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(spark, name)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    semi = text[text.index("LeftSemi"):].splitlines()
+    exchanges = [i for i, line in enumerate(semi) if "Exchange hashpartitioning" in line]
+    assert any("HashAggregate" in semi[i + 1] or "HashAggregate" in semi[i + 2] for i in exchanges[:3])
+
+
+def test_one_pass_where_one_is_enough(spark):
+    assert "Expand" not in plan(spark, "kpi_summary")
+    scans = lambda name: plan(spark, name).count("lineitem.parquet")
+    assert scans("distinct_lists") == 1
+    assert scans("top_n_join_labels") <= 2
+
+
+@pytest.mark.parametrize("name", ["exact_quantile", "boxplot_summary", "size_histogram", "cpue_summary"])
+def test_building_a_query_runs_no_job(spark, name):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(f"build-{name}", "")
+    QUERIES[name](spark, SF)
+    assert not tracker.getJobIdsForGroup(f"build-{name}")
+    spark.sparkContext.setJobGroup("tests", "")
+
+
 @pytest.mark.parametrize("name,column", [
     ("min_date_filter", "GreaterThanOrEqual(o_orderdate"), ("year_filter", "GreaterThanOrEqual(l_shipdate"),
 ])

@@ -4,9 +4,10 @@ import pytest
 from compare import connect, differences
 
 import __spark_entry__ as driver
+from haulframe.catalog.oracle import ORACLE
+from haulframe.catalog.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLE = driver.queries(), driver.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -23,5 +24,9 @@ def test_query(spark, tables, name):
     assert differences(QUERIES[name](spark, SF), tables, ORACLE[name]) is None
 
 
+def test_driver_has_them_all():
+    assert driver.queries().items() >= QUERIES.items() and driver.oracle_sql().items() >= ORACLE.items()
+
+
 def test_entry(spark):
     assert driver.entry(spark).count() > 0
