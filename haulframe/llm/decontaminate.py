@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from haulframe.llm.storage import stored
+from haulframe.llm.storage import bounded, stored
 
 # What a word is (ASCII letters and digits, anything beyond ASCII).
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -42,7 +42,7 @@ def words(text: Column) -> Column:
 
 
 def text_key(text: Column) -> Column:
-    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
 
 def _shingles(seq: str, n: int) -> Column:
@@ -72,38 +72,47 @@ def _matches(docs: DataFrame, text: str, tokens: DataFrame, sizes: list[int], wi
     return found
 
 
-def prefix_index(docs: DataFrame, found: DataFrame, text: str, shingle: int = SHINGLE_WORDS) -> tuple[DataFrame, list[int], bool]:
+def prefix_index(found: DataFrame, places: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
     """Windows under their rarest shingle: token, k (its words), offset, window, n, items.
 
-    Rarity is the number of places in all documents. Ties go by hash.
+    Rarity is the number of places in all texts; ties go by hash. A window with a
+    shingle that no text has is left out.
     """
-    k = F.least(F.lit(shingle), F.col("n"))
-    sizes = sorted(r[0] for r in found.select(k.alias("k")).distinct().collect())  # 1 to `shingle`
-    wide = found.count() > BROADCAST_WINDOWS
-    parts = None
-    for n in sizes:
-        part = found.where(k == n).select("window", "n", "items", F.lit(n).alias("k"), F.posexplode(_shingles("window", n)).alias("offset", "token"))
-        parts = part if parts is None else parts.unionByName(part)
-    tokens = parts.select("token", "k").distinct()
-    counts = _matches(docs, text, tokens, sizes, wide).groupBy("token").agg(F.count(F.lit(1)).alias("places"))
-    # the counted shingles are bounded by the benchmark; absent ones rule their windows out
-    counted = stored(counts, "shingle-counts")
+    counts = places.groupBy("token").agg(F.sum("times").alias("places"))
     rarest = F.min_by(F.struct("token", "k", "offset", "items"), F.struct("places", "token", "offset")).alias("r")
-    ranked = parts.join(counted, "token", "left").fillna(0, "places")
+    ranked = found.join(counts, "token", "left").fillna(0, "places")
     best = ranked.groupBy("window", "n").agg(rarest, F.min("places").alias("least")).where(F.col("least") > 0)
-    return best.select("r.token", "r.k", "r.offset", "window", "n", "r.items"), sizes, wide
+    return best.select("r.token", "r.k", "r.offset", "window", "n", "r.items")
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-                size: int = WINDOW_WORDS) -> DataFrame | None:
+                size: int = WINDOW_WORDS, shingle: int = SHINGLE_WORDS) -> DataFrame | None:
     """Verified windows in documents: key (digest of the text), start (from 0), n, items."""
     found = stored(windows(benchmark, item_id, item_text, size), "windows")
-    if found.isEmpty():
+    n_windows = found.count()
+    if not n_windows:
         return None
-    index, sizes, wide = prefix_index(docs, found, text)
-    index = stored(index, "prefixes")
+    wide = n_windows > BROADCAST_WINDOWS
+    k = F.least(F.lit(shingle), F.col("n"))
+    sizes = sorted(r[0] for r in found.select(k.alias("k")).distinct().collect())  # 1 to `shingle`
+    parts = None
+    for n in sizes:
+        part = found.where(k == n).select("window", "n", "items", F.lit(n).alias("k"), F.posexplode(_shingles("window", n)).alias("offset", "token"))
+        parts = part if parts is None else parts.unionByName(part)
+    parts = stored(parts, "window-shingles")
+
+    # all benchmark shingles in all texts, counted per text
+    tokens = parts.select("token", "k").distinct()
+    places = _matches(docs, text, tokens, sizes, wide).groupBy("key", "token").agg(F.count(F.lit(1)).alias("times"))
+    places = stored(places, "shingle-places")
+    index = stored(prefix_index(parts, places, shingle), "prefixes")
+
+    # only texts with the prefix of some window are cut into words again
+    of_index = index.select("token").distinct()
+    keys = places.join(of_index if wide else F.broadcast(of_index), "token").select(F.col("key").alias("_key")).distinct()
+    few = docs.join(bounded(stored(keys, "candidate-texts")), text_key(F.col(text)) == F.col("_key"), "left_semi")
     start = F.col("at0") - F.col("offset")
-    candidates = _matches(docs, text, index, sizes, wide)
+    candidates = _matches(few, text, index, sizes, wide)
     fits = (start >= 0) & (start + F.col("n") <= F.size("w"))
     same = F.when(fits, F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("n")) == F.col("window"))
     return candidates.where(same).select("key", start.alias("start"), "n", "items")
