@@ -1,17 +1,22 @@
 """Components of items that are similar, from nodes in which similar items meet.
 
 Two items are candidates when they meet in a node (a band or a leaf of a tree).
-Candidates are confirmed on their full texts, but only until all that meet are known to be
+Candidates are confirmed on their full sets, but only until all that meet are known to be
 connected, which is what components need:
 
 1. In every node each member is compared with one of them. Equal numbers of pairs
-   and members, however large the node is.
-2. A node whose members are now in one component has nothing left to find. In another
-   small node all pairs from different components are compared. A large one is branched
-   by further numbers of the signatures, and its children are treated alike.
-
-No link between members of a node is lost by 2, and none is needed inside a component.
-Texts travel only for pairs whose signatures agree well enough.
+   and members, however large the node is. A node whose members are now in one
+   component has nothing left to find.
+2. In the others, elements that no other remaining item has bound the similarity of
+   a member from above. Members that can reach nobody in a node leave it. The rest is
+   compared with the member that has the fewest such elements.
+3. What then remains is compared exhaustively: every pair of a node that is of different
+   components, by signature and bounds first. A large node is dealt into blocks; members
+   outside its largest component go to all of its blocks, so that no task holds it.
+
+No link between members of a node is lost, and none is needed inside a component. Texts
+travel for pairs whose signatures agree well enough; pairs are formed inside the task
+that holds their block.
 """
 
 from __future__ import annotations
@@ -24,10 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haulframe.llm.components import connected_components
-from haulframe.llm.minhash import agreement, branch, least_agreement
+from haulframe.llm.minhash import agreement, jaccard_at_least, least_agreement
+from haulframe.llm.numtext import CHUNK, parts
 from haulframe.llm.storage import bounded, stored
 
-SMALL = 64
+#: Members of a node that are compared in one block.
+BLOCK = 256
 
 def _meeting(members: DataFrame) -> DataFrame:
     """Members of nodes with two members at least: node, rid, pivot, n.
@@ -40,95 +47,189 @@ def _meeting(members: DataFrame) -> DataFrame:
     return stored(members.join(bounded(stored(nodes, "nodes")), "node"), "meeting")
 
 
-def _alike(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
-    """Pairs whose signatures agree at least so well."""
-    of = lambda name: sigs.select(F.col("rid").alias(name), F.col("sig").alias(f"sig_{name}"))
+def _with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """Stored pairs with a column of both items. Few pairs travel to the table, not the table to them."""
+    few = bounded(pairs)
+
+    def side(name: str) -> DataFrame:
+        return table.select(F.col("rid").alias(name), F.col(column).alias(f"{column}_{name}")).join(few, name)
 
+    return side("a").join(side("b"), ["a", "b"])
+
+
+def _alike(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
+    """Stored pairs whose signatures agree at least so well, stored."""
     def kept(batches):
-        for batch in batches:
+        for batch in parts(batches, "sig_a", "sig_b"):
             good = agreement(batch.column("sig_a").to_pylist(), batch.column("sig_b").to_pylist()) >= least
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "sig_a", "sig_b").mapInArrow(kept, "a bigint, b bigint")
+    rows = _with_both(pairs, sigs, "sig").select("a", "b", "sig_a", "sig_b")
+    return stored(rows.mapInArrow(kept, "a bigint, b bigint"), "pairs")
 
 
-def _confirmed(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], similar: Callable) -> DataFrame:
-    """Pairs that are similar on their full texts, stored."""
+def _confirmed(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], sets: Callable, percent: int) -> DataFrame:
+    """Stored pairs that are similar on their full sets, stored."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
     found = stored(texts(stored(ids, "ids")), "texts")
-    of = lambda name: found.select(F.col("rid").alias(name), F.col("text").alias(f"text_{name}"))
 
     def kept(batches):
-        for batch in batches:
-            good = similar(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist())
-            yield batch.select(["a", "b"]).filter(pa.array(good))
-
-    rows = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "text_a", "text_b")
+        for batch in parts(batches, "text_a", "text_b"):
+            a, b = batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()
+            distinct = list({*a, *b})
+            of = dict(zip(distinct, sets(distinct)))
+            good = [jaccard_at_least(of[x], of[y], percent) for x, y in zip(a, b)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    rows = _with_both(pairs, found, "text").select("a", "b", "text_a", "text_b")
     return stored(rows.mapInArrow(kept, "a bigint, b bigint"), "links")
 
 
+def _reach(ids: DataFrame, texts: Callable[[DataFrame], DataFrame], sets: Callable) -> DataFrame:
+    """(rid, size, own) of items: elements of their sets, and those that no other of them has."""
+    def elements(batches):
+        for batch in parts(batches, "text", size=CHUNK):
+            found = sets(batch.column("text").to_pylist())
+            n = np.array([len(s) for s in found], dtype=np.int64)
+            token = np.concatenate([*found, np.zeros(0, dtype=np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([
+                batch.column("rid").take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(np.repeat(n, n)), pa.array(token)
+            ], ["rid", "size", "token"])
+
+    each = stored(texts(ids), "texts").select("rid", "text").mapInArrow(elements, "rid bigint, size bigint, token bigint")
+    by_token = each.groupBy("token").agg(F.min("rid").alias("rid"), F.max("rid").alias("last"))
+    own = by_token.where(F.col("rid") == F.col("last")).groupBy("rid").agg(F.count(F.lit(1)).alias("own"))
+    sizes = each.groupBy("rid").agg(F.max("size").alias("size"))
+    return stored(sizes.join(own, "rid", "left").fillna(0, "own"), "reach")
+
+
+def _reachable(rows: DataFrame, percent: int) -> DataFrame:
+    """Members (with size, own) of nodes that can be similar to some member of their node.
+
+    A member shares ``size - own`` elements at most with anyone, and the other has no
+    fewer elements than the smallest member.
+    """
+    least = stored(rows.groupBy("node").agg(F.min("size").alias("least")), "least")
+    shared = F.col("size") - F.col("own")
+    union = F.col("size") + F.greatest(F.col("least") - shared, F.lit(0))
+    return rows.join(bounded(least), "node").where(shared * 100 >= union * percent).drop("least")
+
+
 def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def _branched(meeting: DataFrame, sigs: DataFrame, similarity: float) -> DataFrame:
-    """Members of the children of nodes."""
-    def children(batches):
+def block_pairs(rid, component, home, size, own, sig, least: float, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a block, one of them at home in it, of different components, that may be similar."""
+    found = [(rid[:0], rid[:0])]
+    for a in range(0, len(rid), 64):  # bounds the memory of the comparison
+        x = slice(a, a + 64)
+        shared = np.minimum(size[x, None] - own[x, None], size - own)
+        may = (component[x, None] != component) & home & (100 * shared >= percent * (size[x, None] + size - shared))
+        i, j = np.nonzero(may)
+        same = (sig[x][i] == sig[j]).mean(axis=1) >= least
+        found.append((rid[x][i[same]], rid[j[same]]))
+    one, two = (np.concatenate(c) for c in zip(*found))
+    return np.minimum(one, two), np.maximum(one, two)
+
+
+def _pairs_inside(rows: DataFrame, sigs: DataFrame, least: float, percent: int) -> DataFrame:
+    """All pairs of different components in a node that may be similar.
+
+    ``rows``: node, rid, component, size, own, n (members of the node).
+    """
+    main = rows.groupBy("node", "component").agg(F.count(F.lit(1)).alias("_c")).groupBy("node").agg(
+        F.max_by("component", F.struct("_c", "component")).alias("main")
+    )
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    at = F.pmod(F.xxhash64("rid"), blocks).cast("int")
+    everywhere = F.sequence(F.lit(0), blocks - 1)
+    dealt = (
+        rows.join(bounded(stored(main, "main")), "node")
+        .withColumn("block", F.explode(F.when(F.col("component") == F.col("main"), F.array(at)).otherwise(everywhere)))
+        .select("rid", F.xxhash64("node", "block").alias("block"), "component", "size", "own", (F.col("block") == at).alias("home"))
+    )
+
+    def formed(batches):
+        held = None  # rows of the last block, which may go on
         for batch in batches:
-            if not batch.num_rows:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            block = held.column("block").to_numpy()
+            if not len(block) or block[0] == block[-1]:
                 continue
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype="<u2").reshape(batch.num_rows, -1)
-            row, node = branch(sig, np.arange(batch.num_rows), batch.column("node").to_numpy().view(np.uint64), similarity)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(node.view(np.int64)), batch.column("rid").take(pa.array(row))], ["node", "rid"]
-            )
-
-    return meeting.select("node", "rid").join(sigs.select("rid", "sig"), "rid").select("node", "rid", "sig").mapInArrow(
-        children, "node bigint, rid bigint"
-    ).distinct()
+            last = int(np.searchsorted(block, block[-1], "left"))
+            yield pairs(held.slice(0, last))
+            held = held.slice(last)
+        if held is not None and held.num_rows:
+            yield pairs(held)
+
+    def pairs(table):
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype="<u2").reshape(table.num_rows, -1)
+        columns = [table.column(c).to_numpy() for c in ("rid", "component", "home", "size", "own")]
+        edges = np.flatnonzero(np.diff(table.column("block").to_numpy())) + 1
+        found = [
+            block_pairs(*(c[a:b] for c in columns), sig[a:b], least, percent)
+            for a, b in zip([0, *edges], [*edges, table.num_rows])
+        ]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["a", "b"])
+
+    joined = dealt.join(sigs.select("rid", "sig"), "rid")
+    return joined.repartition("block").sortWithinPartitions("block").select(
+        "block", "rid", "component", "home", "size", "own", "sig"
+    ).mapInArrow(formed, "a bigint, b bigint").distinct()
 
 
 def similar_components(
     members: DataFrame, sigs: DataFrame, texts: Callable[[DataFrame], DataFrame],
-    similar: Callable[[list[bytes], list[bytes]], list[bool]], similarity: float, k: int,
+    sets: Callable[[list[bytes]], list[np.ndarray]], percent: int, k: int,
 ) -> DataFrame:
     """(id, component) of all items that have a confirmed link.
 
     ``members`` (node, rid) says who meets, ``sigs`` (rid, sig) has the signatures of
-    ``k`` numbers, ``texts`` gives (rid, text as bytes) for a table of ids, and ``similar``
-    decides on two lists of texts.
+    ``k`` numbers, ``texts`` gives (rid, text as bytes) for a stored table of ids, and
+    ``sets`` the sorted sets of a list of texts.
     """
-    least = least_agreement(similarity, k)
-    links = None
-    tried = None
+    def components(links: DataFrame) -> DataFrame:
+        return stored(connected_components(links), "components").select(F.col("id").alias("rid"), "component")
+
+    def still_open(rows: DataFrame, known: DataFrame) -> DataFrame:
+        """Rows of nodes with members of different components."""
+        plain = rows.drop("component", "n")
+        classed = plain.join(bounded(known), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
+        mixed = classed.groupBy("node").agg(
+            F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")
+        )
+        mixed = stored(mixed.where(F.col("low") != F.col("high")).select("node", "n"), "mixed")
+        return stored(classed.join(bounded(mixed), "node"), "open")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        return _alike(stored(pairs, "pairs"), sigs, least)
+
+    least = least_agreement(percent / 100, k)
     meeting = _meeting(members)
-    while True:
-        star = _pairs(meeting.where(F.col("rid") != F.col("pivot")), "rid", "pivot")
-        if tried is not None:
-            star = star.join(tried, ["a", "b"], "left_anti")
-        star = stored(_alike(star, sigs, least), "pairs")
-        found = _confirmed(star, texts, similar)
-        links = found if links is None else links.unionByName(found)
-        known = stored(connected_components(links), "components").select(F.col("id").alias("rid"), "component")
-        classed = meeting.join(known, "rid", "left").withColumn("component", F.coalesce("component", "rid"))
-        mixed = classed.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        mixed = stored(mixed.where(F.col("low") != F.col("high")).select("node"), "mixed")
-        if mixed.isEmpty():
-            break
-        open_rows = stored(classed.join(bounded(mixed), "node").select("node", "rid", "n", "component"), "open")
-        small = open_rows.where(F.col("n") <= SMALL)
-        others = small.select("node", F.col("rid").alias("other"), F.col("component").alias("theirs"))
-        rest = _pairs(
-            small.join(others, "node").where(F.col("component") < F.col("theirs")), "rid", "other"
-        )  # at most SMALL partners for each member of a node
-        done = star if tried is None else tried.unionByName(star)
-        rest = stored(_alike(rest.join(done, ["a", "b"], "left_anti"), sigs, least), "pairs")
-        if not rest.isEmpty():
-            links = links.unionByName(_confirmed(rest, texts, similar))
-        tried = done.unionByName(rest)
-        large = open_rows.where(F.col("n") > SMALL)
-        if large.isEmpty():
-            known = stored(connected_components(links), "components").select(F.col("id").alias("rid"), "component")
-            break
-        meeting = _meeting(_branched(large, sigs, similarity))
+    tried = compared(_pairs(meeting.where(F.col("rid") != F.col("pivot")), "rid", "pivot"))
+    links = _confirmed(tried, texts, sets, percent)
+    known = components(links)
+    rows = still_open(meeting.select("node", "rid"), known)
+    if rows.isEmpty():
+        return known.select(F.col("rid").alias("id"), "component")
+
+    reach = _reach(stored(rows.select("rid").distinct(), "ids"), texts, sets)
+    rows = still_open(_reachable(rows.join(bounded(reach), "rid"), percent), known)
+    fewest = rows.groupBy("node").agg(F.min_by("rid", F.struct("own", "rid")).alias("pivot"))
+    star = rows.join(bounded(stored(fewest, "pivots")), "node").where(F.col("rid") != F.col("pivot"))
+    star = compared(_pairs(star, "rid", "pivot").join(bounded(tried), ["a", "b"], "left_anti"))
+    if not star.isEmpty():
+        links = links.unionByName(_confirmed(star, texts, sets, percent))
+        tried = stored(tried.unionByName(star), "tried")
+        known = components(links)
+        rows = still_open(rows, known)
+
+    if rows.isEmpty():
+        return known.select(F.col("rid").alias("id"), "component")
+    rest = _pairs_inside(rows, sigs, least, percent)
+    rest = stored(rest.join(bounded(tried), ["a", "b"], "left_anti"), "pairs")
+    if not rest.isEmpty():
+        known = components(links.unionByName(_confirmed(rest, texts, sets, percent)))
     return known.select(F.col("rid").alias("id"), "component")

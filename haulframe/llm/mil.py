@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haulframe.llm.numtext import Words, chunks, mix
+from haulframe.llm.numtext import Words, chunks, mix, parts
 
 PASSAGE_WORDS = 64
 HASHED = 16  # classes of hashed word lengths and endings
@@ -181,14 +181,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
     texts = rows.join(chosen, F.col("_id") == F.col("_doc")).groupBy("_doc", "_label").agg(F.min("text").alias("text"))
 
     def described(batches):
-        for batch in batches:
+        for batch in parts(batches, "text"):
             x, counts = passages(batch.column("text").to_pylist())
             first = np.cumsum(counts) - counts
             # evenly spread over the text
-            parts = [x[a + np.unique(np.linspace(0, n - 1, min(n, fit_passages)).astype(int))] for a, n in zip(first, counts)]
+            chosen = [x[a + np.unique(np.linspace(0, n - 1, min(n, fit_passages)).astype(int))] for a, n in zip(first, counts)]
             yield pa.RecordBatch.from_arrays([
                 batch.column("_doc"), batch.column("_label").cast(pa.int32()),
-                pa.array([p.astype("<f4").tobytes() for p in parts], pa.binary()),
+                pa.array([p.astype("<f4").tobytes() for p in chosen], pa.binary()),
             ], ["doc", "label", "x"])
 
     kind = rows.schema["_id"].dataType.simpleString()
@@ -197,8 +197,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
     label_of = seen["label"].to_numpy(dtype=np.float64)
     if len(set(label_of.tolist())) < 2:
         return None
-    parts = [np.frombuffer(b, dtype="<f4").reshape(-1, N_FEATURES) for b in seen["x"]]
-    return fit(np.concatenate(parts).astype(np.float64), np.array([len(p) for p in parts]), label_of)
+    per_doc = [np.frombuffer(b, dtype="<f4").reshape(-1, N_FEATURES) for b in seen["x"]]
+    return fit(np.concatenate(per_doc).astype(np.float64), np.array([len(p) for p in per_doc]), label_of)
 
 
 def score_documents(docs: DataFrame, model: Model | None, text: str = "text", name: str = "score") -> DataFrame:
@@ -210,7 +210,7 @@ def score_documents(docs: DataFrame, model: Model | None, text: str = "text", na
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def scored(batches):
-        for batch in batches:
+        for batch in parts(batches, "_score_text"):
             texts = batch.column("_score_text").to_pylist()
             out = [model.scores(*passages(some)) for _, some in chunks(texts)]
             yield pa.RecordBatch.from_arrays(

@@ -3,8 +3,7 @@
 A document is the set of its shingles. Documents with equal sets are one item. Every
 item walks down independent trees: a node chooses places of the MinHash signature and its
 items go on by the numbers they have there, so that similar items stay together and others
-part. Leaves are compared as `links` says: exhaustively where small, and branched further
-where large. Each link is confirmed on the full sets.
+part. Leaves are compared exhaustively, as `links` says. Each link is confirmed on the full sets.
 
 With the defaults a pair at the least similarity is missed by all trees with a
 chance of 1 in 200,000; a more similar pair far less often.
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 
 from haulframe.llm.links import similar_components
 from haulframe.llm.minhash import leaves, signatures
-from haulframe.llm.numtext import LOWER, Words, chunks
+from haulframe.llm.numtext import CHUNK, LOWER, Words, chunks, parts
 from haulframe.llm.storage import bounded, stored
 
 NUMBERS = 96
@@ -54,16 +53,6 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     return out
 
 
-def jaccard_at_least(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether 100 * intersection >= percent * union, for sorted sets."""
-    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    common = int((b[at] == a).sum()) if len(b) else 0
-    return bool(100 * common >= percent * (len(a) + len(b) - common) and common)
-
-
 def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
@@ -77,7 +66,7 @@ def facts(docs: DataFrame, doc_id: str, text: str, words: int, k: int) -> DataFr
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def described(batches):
-        for batch in batches:
+        for batch in parts(batches, "text", size=CHUNK):
             sets = shingle_sets(batch.column("text").to_pylist(), words)
             n = np.array([len(s) for s in sets], dtype=np.int64)
             full = n > 0
@@ -125,13 +114,11 @@ def near_duplicates(
         # copies are combined before the shuffle
         return rows.join(bounded(keys), "_key").groupBy("rid").agg(F.any_value("text").alias("text"))
 
-    def similar(a: list[bytes], b: list[bytes]) -> list[bool]:
-        distinct = list({*a, *b})
-        sets = dict(zip(distinct, shingle_sets(distinct, words)))
-        return [jaccard_at_least(sets[x], sets[y], percent) for x, y in zip(a, b)]
+    def sets(found: list[bytes]) -> list[np.ndarray]:
+        return shingle_sets(found, words)
 
     similarity = percent / 100
-    components = similar_components(_leaves(items, trees, depth, similarity), items, texts, similar, similarity, k)
+    components = similar_components(_leaves(items, trees, depth, similarity), items, texts, sets, percent, k)
     classed = items.join(components, F.col("rid") == F.col("id"), "left").withColumn("component", F.coalesce("component", "rid"))
     names = stored(classed.groupBy("component").agg(F.min("first").alias("name")), "names")
     by_set = stored(classed.select("digest", "component").join(names, "component").select("digest", F.col("name.doc_id").alias("component_id")), "sets")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK = 1_000_000  # bytes of text per numpy step; a longer text is a step of its own
 
@@ -93,6 +95,22 @@ class Words:
         return np.cumsum(edges[:-1]) > 0
 
 
+def parts(batches: Iterator[pa.RecordBatch], *columns: str, size: int = 4 * CHUNK) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches, about ``size`` bytes of the given text columns at a time.
+
+    A batch holds a fixed number of rows, however long their texts are; what Python makes of
+    them shall not.
+    """
+    for batch in batches:
+        total = np.zeros(batch.num_rows, dtype=np.int64)
+        for c in columns:
+            total += pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False)
+        cut = np.flatnonzero(np.diff(np.cumsum(total) // size)) + 1
+        for a, b in zip([0, *cut], [*cut, batch.num_rows]):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 def chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of texts of about ``CHUNK`` bytes, with the number of their first."""
     begin, size = 0, 0

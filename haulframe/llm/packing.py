@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from haulframe.llm.numtext import parts
 from haulframe.llm.storage import stored
 
 GROUP = 8192
@@ -97,7 +98,7 @@ def pieces(
 
     def cut(batches):
         encoder = _encoder(files.value)
-        for batch in batches:
+        for batch in parts(batches, "text"):
             owner, out = [], {"piece": [], "start": [], "length": [], "ids_crc32": []}
             packed: list[bytes] = []
             for i, t in enumerate(batch.column("text").to_pylist()):

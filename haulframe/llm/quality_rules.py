@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haulframe.llm.numtext import Words, chunks
+from haulframe.llm.numtext import Words, chunks, parts
 from haulframe.llm.storage import stored
 
 SYMBOLS = np.zeros(256, dtype=bool)
@@ -85,7 +85,7 @@ def measures(docs: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
     def measured(batches):
-        for batch in batches:
+        for batch in parts(batches, "_text"):
             found = measure_texts(batch.column("_text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(k) for k in keep), *(pa.array(found[m]) for m in MEASURES)], [*keep, *MEASURES]

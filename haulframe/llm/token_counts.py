@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from haulframe.llm.numtext import CHUNK, parts
+
 TABLE = 131_072
 SUMMARY = 131_072
 CACHE = 400_000
@@ -35,7 +37,6 @@ LONG = 256
 MARK = "▁"
 PRE_TOKEN = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 
-CHUNK = 1_000_000  # characters that are cut into pre-tokens at a time
 
 _models: dict[bytes, object] = {}
 
@@ -104,29 +105,16 @@ class TextCounter:
         return counts
 
 
-def _chunks(texts: list[str]) -> Iterator[list[str]]:
-    some, size = [], 0
-    for t in texts:
-        some.append(t)
-        size += len(t)
-        if size >= CHUNK:
-            yield some
-            some, size = [], 0
-    if some:
-        yield some
-
-
 def frequent_pre_tokens(docs: DataFrame, text: str, model: bytes, table_size: int = TABLE) -> dict[str, int]:
     """The most frequent pre-tokens of all rows with their token counts."""
 
     def summary(batches):
         counts: Counter[str] = Counter()
-        for batch in batches:
-            for texts in _chunks(batch.column(0).to_pylist()):
-                for t in texts:
-                    counts.update(pre_tokens(t))
-                if len(counts) > 4 * SUMMARY:
-                    counts = Counter(dict(counts.most_common(SUMMARY)))
+        for batch in parts(batches, "text", size=CHUNK):
+            for t in batch.column(0).to_pylist():
+                counts.update(pre_tokens(t))
+            if len(counts) > 4 * SUMMARY:
+                counts = Counter(dict(counts.most_common(SUMMARY)))
         kept = [(p, n) for p, n in counts.most_common(SUMMARY) if n > 1 and len(p) <= LONG]
         for at in range(0, len(kept), 10_000):
             yield pa.RecordBatch.from_pylist([{"piece": p, "n": n} for p, n in kept[at:at + 10_000]], SUMMARIES)
@@ -159,10 +147,10 @@ def count_tokens(
 
     def counted(batches):
         counter = None
-        for batch in batches:
+        for batch in parts(batches, "text", size=CHUNK):
             counter = counter or TextCounter(*tiers.value)
             texts = batch.column("text").to_pylist()
-            numbers = [n for some in _chunks(texts) for n in counter.count(some)]
+            numbers = counter.count(texts)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(
                 [len(t.encode()) for t in texts], pa.int64()), pa.array(numbers, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
