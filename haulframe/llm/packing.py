@@ -3,7 +3,7 @@
 A document is its token ids and a closing id. Only documents longer than a sequence
 are cut, into full pieces behind a first one that takes the rest, so a full piece is
 a sequence by itself. The other pieces are dealt at random into packing groups of a
-fixed size, whatever the input size, and each group is packed on its own: best fit,
+fixed mean size, whatever the input size, and each group is packed on its own: best fit,
 longest first, then a local search between underfull sequences. It moves a piece, swaps
 one for one, one for two or two for one, whenever the sum of squared fills grows, until
 no sequence can be emptied any more or the sum of lengths shows that none could.
@@ -279,7 +279,8 @@ def pack(cut: DataFrame, size: int = 2048, group: int = GROUP) -> DataFrame:
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_uid", ignore_index=True)
         where, offset = pack_lengths(pdf["length"].to_numpy(), size)
-        return pd.DataFrame({"_uid": pdf["_uid"], "sequence_id": pdf["_group"] * group + where, "offset": offset})
+        # a group may hold more than ``group`` pieces, and no bin number reaches 2 ** 32
+        return pd.DataFrame({"_uid": pdf["_uid"], "sequence_id": pdf["_group"] * 2**32 + where, "offset": offset})
 
     places = dealt.groupBy("_group").applyInPandas(packed, "_uid bigint, sequence_id bigint, offset bigint")
     full = rows.where(F.col("length") >= size).withColumns({

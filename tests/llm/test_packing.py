@@ -90,3 +90,10 @@ def test_lower_bound_against_all_packings():
         bins = packing.Bins(lengths, 10)
         bins.search()
         assert bins.least() <= best <= bins.used()
+
+
+def test_groups_share_no_sequence(spark):
+    """Pieces longer than half a sequence: every one needs its own, in groups of more than their mean size too."""
+    cut = spark.range(1000).selectExpr("id as doc_id", "0 as piece", "0L as start", "1025 + id % 1023 as length")
+    rows = packing.pack(cut, 2048, group=50).collect()
+    assert len(rows) == 1000 == len({r["sequence_id"] for r in rows}) and {r["offset"] for r in rows} == {0}
