@@ -11,12 +11,15 @@ connected, which is what components need:
    a member from above. Members that can reach nobody in a node leave it. The rest is
    compared with the member that has the fewest such elements.
 3. What then remains is compared exhaustively: every pair of a node that is of different
-   components, by signature and bounds first. A large node is dealt into blocks; members
-   outside its largest component go to all of its blocks, so that no task holds it.
-
-No link between members of a node is lost, and none is needed inside a component. Texts
-travel for pairs whose signatures agree well enough; pairs are formed inside the task
-that holds their block.
+   components, on the full sets. A large node is dealt into blocks, and every pair of blocks
+   is compared on its own, so that no task holds more than two; its largest component has
+   blocks of its own, which do not meet each other. Of the links found there, those
+   that join components are returned, fewer than members.
+
+No link between members of a node is lost, and none is needed inside a component. In the
+first two steps texts travel for pairs whose signatures agree well enough; a pair that they pass
+over is compared in the third. There each member travels once for each block that its own
+meets: the work grows with the square of the members that no bound rules out.
 """
 
 from __future__ import annotations
@@ -33,8 +36,10 @@ from haulframe.llm.minhash import agreement, jaccard_at_least, least_agreement
 from haulframe.llm.numtext import CHUNK, parts
 from haulframe.llm.storage import bounded, stored
 
-#: Members of a node that are compared in one block.
-BLOCK = 256
+#: Members of a block at most; a pair of blocks is compared in one task.
+BLOCK = 1024
+#: Elements of a block that are compared at once.
+WIDTH = 4096
 
 def _meeting(members: DataFrame) -> DataFrame:
     """Members of nodes with two members at least: node, rid, pivot, n.
@@ -119,64 +124,127 @@ def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def block_pairs(rid, component, home, size, own, sig, least: float, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a block, one of them at home in it, of different components, that may be similar."""
-    found = [(rid[:0], rid[:0])]
-    for a in range(0, len(rid), 64):  # bounds the memory of the comparison
-        x = slice(a, a + 64)
-        shared = np.minimum(size[x, None] - own[x, None], size - own)
-        may = (component[x, None] != component) & home & (100 * shared >= percent * (size[x, None] + size - shared))
-        i, j = np.nonzero(may)
-        same = (sig[x][i] == sig[j]).mean(axis=1) >= least
-        found.append((rid[x][i[same]], rid[j[same]]))
-    one, two = (np.concatenate(c) for c in zip(*found))
-    return np.minimum(one, two), np.maximum(one, two)
+def _forest(a: np.ndarray, b: np.ndarray, component: np.ndarray) -> list[int]:
+    """Places of the links that join what neither the components nor earlier links do."""
+    root: dict[int, int] = {}
+
+    def top(x):
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
 
+    chosen = []
+    for at, (x, y) in enumerate(zip(component[a].tolist(), component[b].tolist())):
+        if (x := top(x)) != (y := top(y)):
+            root[x] = y
+            chosen.append(at)
+    return chosen
 
-def _pairs_inside(rows: DataFrame, sigs: DataFrame, least: float, percent: int) -> DataFrame:
-    """All pairs of different components in a node that may be similar.
 
-    ``rows``: node, rid, component, size, own, n (members of the node).
+def block_links(component: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (places of members) that connect all members of different components that are similar.
+
+    ``side`` is 0 for all members of a block that meets itself; of two blocks, members of
+    1 are compared with those of 2. Every pair is decided on its full sets.
+    """
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    member = np.repeat(np.arange(len(sets)), size)
+    code = np.unique(np.concatenate([*sets, np.zeros(0, dtype=np.uint64)]), return_inverse=True)[1]
+    while True:  # a member whose elements the others have too seldom is similar to none of them
+        common = np.bincount(code, minlength=1)[code] > 1
+        shared = np.bincount(member[common], minlength=len(sets))
+        lost = (100 * shared < percent * size)[member]
+        if not lost.any():
+            break
+        member, code = member[~lost], code[~lost]
+    rows = np.unique(member)
+    one, two = rows[side[rows] != 2], rows[side[rows] != 1]
+    place = np.zeros(len(sets), dtype=np.int64)
+    place[rows] = np.arange(len(rows))
+    code = np.unique(code[common], return_inverse=True)[1]
+    order = np.argsort(code, kind="stable")
+    row, code = place[member[common]][order], code[order]
+    both = np.zeros((len(one), len(two)))
+    for low in range(0, int(code[-1]) + 1 if len(code) else 0, WIDTH):  # bounds the memory of the comparison
+        a, b = np.searchsorted(code, (low, low + WIDTH))
+        has = np.zeros((len(rows), min(WIDTH, int(code[-1]) + 1 - low)), dtype=np.float32)
+        has[row[a:b], code[a:b] - low] = 1
+        both += has[place[one]] @ has[place[two]].T  # whole numbers of at most WIDTH
+    union = size[one, None] + size[two] - both
+    good = (both > 0) & (100 * both >= percent * union) & (component[one, None] != component[two])
+    if not side.any():
+        good = np.triu(good, 1)
+    i, j = np.nonzero(good)
+    a, b = one[i], two[j]
+    chosen = _forest(a, b, component)
+    return a[chosen], b[chosen]
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Members of nodes, dealt into blocks, once for each pair of blocks they are compared in.
+
+    ``rows``: node, rid, component, n (members of the node), and any others, which are kept.
+    Adds first and second (the pair of blocks) and side (0: the block alone, 1 and 2: a member of the
+    first or second). The largest component of a large node has its own blocks, which
+    do not meet each other.
     """
     main = rows.groupBy("node", "component").agg(F.count(F.lit(1)).alias("_c")).groupBy("node").agg(
-        F.max_by("component", F.struct("_c", "component")).alias("main")
+        F.max_by("component", F.struct("_c", "component")).alias("main"), F.max("_c").alias("_c")
     )
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    at = F.pmod(F.xxhash64("rid"), blocks).cast("int")
-    everywhere = F.sequence(F.lit(0), blocks - 1)
-    dealt = (
-        rows.join(bounded(stored(main, "main")), "node")
-        .withColumn("block", F.explode(F.when(F.col("component") == F.col("main"), F.array(at)).otherwise(everywhere)))
-        .select("rid", F.xxhash64("node", "block").alias("block"), "component", "size", "own", (F.col("block") == at).alias("home"))
+    blocks = lambda n: F.when(n <= BLOCK, 1).otherwise(F.ceil(2 * n / BLOCK)).cast("int")  # noqa: E731  half full, as hashes deal unevenly
+    is_main = (F.col("n") > BLOCK) & (F.col("component") == F.col("main"))
+    turn = F.xxhash64("rid", "node")
+    others = blocks(F.when(F.col("n") > BLOCK, F.greatest(F.col("n") - F.col("_c"), F.lit(1))).otherwise(F.col("n")))
+    mains = blocks(F.col("_c"))
+    last = F.when(F.col("n") > BLOCK, F.col("_others") + F.col("_mains")).otherwise(1) - 1
+    return (
+        rows.join(bounded(stored(main, "main")), "node").withColumns({"_others": others, "_mains": mains, "_main": is_main})
+        .withColumn("_home", F.when(F.col("_main"), F.col("_others") + F.pmod(turn, F.col("_mains"))).otherwise(F.pmod(turn, F.col("_others"))).cast("int"))
+        .withColumn("_met", F.explode(F.sequence(F.lit(0), F.when(F.col("_main"), F.col("_others") - 1).otherwise(last))))
+        .select(
+            *rows.columns, F.least("_home", "_met").alias("first"), F.greatest("_home", "_met").alias("second"),
+            F.when(F.col("_home") == F.col("_met"), 0).when(F.col("_home") < F.col("_met"), 1).otherwise(2).alias("side"),
+        )
     )
 
+
+def _links_inside(rows: DataFrame, texts: Callable[[DataFrame], DataFrame], sets: Callable, percent: int) -> DataFrame:
+    """Links that connect all similar members of a node that are of different components.
+
+    ``rows``: node, rid, component, n (members of the node).
+    """
+    def described(batches):
+        for batch in parts(batches, "text", size=CHUNK):
+            found = [s.tobytes() for s in sets(batch.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(found, pa.binary())], ["rid", "elements"])
+
+    ids = stored(rows.select("rid").distinct(), "ids")
+    elements = stored(stored(texts(ids), "texts").select("rid", "text").mapInArrow(described, "rid bigint, elements binary"), "sets")
+    key = ["node", "first", "second"]
+
     def formed(batches):
-        held = None  # rows of the last block, which may go on
-        for batch in batches:
+        held = None  # rows of the last pair of blocks, which may go on
+        for batch in (b for whole in batches for b in parts([whole], "elements")):
             table = pa.Table.from_batches([batch])
             held = table if held is None else pa.concat_tables([held, table])
-            block = held.column("block").to_numpy()
-            if not len(block) or block[0] == block[-1]:
-                continue
-            last = int(np.searchsorted(block, block[-1], "left"))
-            yield pairs(held.slice(0, last))
-            held = held.slice(last)
+            column = [held.column(c).to_numpy() for c in key]
+            edges = np.flatnonzero(np.any([np.diff(c) != 0 for c in column], axis=0)) + 1
+            for a, b in zip([0, *edges], edges):
+                yield linked(held.slice(a, b - a))
+            if len(edges):
+                held = held.slice(edges[-1])
         if held is not None and held.num_rows:
-            yield pairs(held)
-
-    def pairs(table):
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype="<u2").reshape(table.num_rows, -1)
-        columns = [table.column(c).to_numpy() for c in ("rid", "component", "home", "size", "own")]
-        edges = np.flatnonzero(np.diff(table.column("block").to_numpy())) + 1
-        found = [
-            block_pairs(*(c[a:b] for c in columns), sig[a:b], least, percent)
-            for a, b in zip([0, *edges], [*edges, table.num_rows])
-        ]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["a", "b"])
-
-    joined = dealt.join(sigs.select("rid", "sig"), "rid")
-    return joined.repartition("block").sortWithinPartitions("block").select(
-        "block", "rid", "component", "home", "size", "own", "sig"
+            yield linked(held)
+
+    def linked(table):
+        rid, component, side = (table.column(c).to_numpy() for c in ("rid", "component", "side"))
+        found = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table.column("elements")]
+        i, j = block_links(component, side, found, percent)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(rid[i], rid[j])), pa.array(np.maximum(rid[i], rid[j]))], ["a", "b"])
+
+    joined = dealt(rows.select("node", "rid", "component", "n")).join(elements, "rid")
+    return joined.repartition(*key).sortWithinPartitions(*key).select(
+        *key, "rid", "component", "side", "elements"
     ).mapInArrow(formed, "a bigint, b bigint").distinct()
 
 
@@ -222,14 +290,12 @@ def similar_components(
     star = compared(_pairs(star, "rid", "pivot").join(bounded(tried), ["a", "b"], "left_anti"))
     if not star.isEmpty():
         links = links.unionByName(_confirmed(star, texts, sets, percent))
-        tried = stored(tried.unionByName(star), "tried")
         known = components(links)
         rows = still_open(rows, known)
 
     if rows.isEmpty():
         return known.select(F.col("rid").alias("id"), "component")
-    rest = _pairs_inside(rows, sigs, least, percent)
-    rest = stored(rest.join(bounded(tried), ["a", "b"], "left_anti"), "pairs")
+    rest = stored(_links_inside(rows, texts, sets, percent), "links")
     if not rest.isEmpty():
-        known = components(links.unionByName(_confirmed(rest, texts, sets, percent)))
+        known = components(links.unionByName(rest))
     return known.select(F.col("rid").alias("id"), "component")

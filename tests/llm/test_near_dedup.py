@@ -123,3 +123,51 @@ def test_components(spark):
             break
     assert got == root
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
+
+
+def test_no_task_holds_more_than_two_blocks(spark, monkeypatch):
+    """A node of strangers and one with a large component: every pair of different components meets once."""
+    import haulframe.llm.links as links
+
+    monkeypatch.setattr(links, "BLOCK", 64)
+    rows = [(1, i, i, 600) for i in range(600)] + [(2, i, 0 if i < 500 else i, 540) for i in range(540)] + [(3, i, i, 9) for i in range(9)]
+    by = {}
+    for r in links.dealt(spark.createDataFrame(rows, "node bigint, rid bigint, component bigint, n bigint")).collect():
+        by.setdefault((r["node"], r["first"], r["second"]), []).append((r["rid"], r["component"], r["side"]))
+    met = {}
+    for (node, *_), members in by.items():
+        assert max(sum(m[2] == side for m in members) for side in (0, 1, 2)) <= 64
+        for a, c, x in members:
+            for b, d, y in members:
+                if a < b and c != d and x + y in (0, 3):
+                    met[node, a, b] = met.get((node, a, b), 0) + 1
+    want = {(1, a, b) for b in range(600) for a in range(b)} | {(3, a, b) for b in range(9) for a in range(b)}
+    want |= {(2, a, b) for b in range(500, 540) for a in range(b)}
+    assert set(met) == want and set(met.values()) == {1}
+
+
+@pytest.mark.parametrize("width", [16, 4096])
+def test_block_links_equal_brute_force(monkeypatch, width):
+    import haulframe.llm.links as links
+
+    monkeypatch.setattr(links, "WIDTH", width)
+    rng = np.random.default_rng(2)
+    for _ in range(40):
+        n = int(rng.integers(1, 30))
+        base = [rng.choice(300, 40, replace=False) for _ in range(3)]
+        sets = [np.unique(np.append(rng.permutation(base[rng.integers(3)])[rng.integers(8):], rng.integers(0, 300, rng.integers(8)))).astype(np.uint64) for _ in range(n)]
+        component = rng.integers(0, n, n) if n % 2 else np.arange(n)
+        side = rng.integers(1, 3, n) if n % 3 else np.zeros(n, dtype=np.int64)
+        links_found = list(zip(*(x.tolist() for x in links.block_links(component, side, sets, 80))))
+        alike = lambda i, j: 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))
+        pairs = [(i, j) for j in range(n) for i in range(n) if i != j and (side[i] + side[j] == 3 or not side.any()) and component[i] != component[j] and alike(i, j)]
+        assert {tuple(sorted(x)) for x in links_found} <= {tuple(sorted(x)) for x in pairs}
+
+        def classes(edges):
+            root = component.tolist()
+            for i, j in edges:
+                a, b = root[i], root[j]
+                root = [b if r == a else r for r in root]
+            return {frozenset(i for i in range(n) if root[i] == r) for r in root}
+
+        assert classes(links_found) == classes(pairs) and len(links_found) < n
