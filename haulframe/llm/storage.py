@@ -47,7 +47,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """A stored table, marked for broadcast if its counted rows are few."""
+    """A stored table of rows of fixed width, marked for broadcast if its counted rows are few."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
