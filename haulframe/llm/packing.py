@@ -6,7 +6,7 @@ a sequence by itself. The other pieces are dealt at random into packing groups o
 fixed mean size, whatever the input size, and each group is packed on its own: best fit,
 longest first, then a local search between underfull sequences. It moves a piece, swaps
 one for one, one for two or two for one, whenever the sum of squared fills grows, until
-no sequence can be emptied any more or the sum of lengths shows that none could.
+no open sequence has such a step any more or the sum of lengths shows that none could be emptied.
 
 Groups cost at most one sequence each over the optimum of the whole, when each
 group reaches its own bound.
@@ -197,27 +197,40 @@ class Bins:
         found = [p for b in bins for p in self._parcels(b)[1]]
         return np.array(found, dtype=np.int64).reshape(-1, 2)
 
-    def search(self, poorest: int = 16) -> None:
-        """Exchanges between one of the ``poorest`` bins and any other, until none helps.
+    def search(self) -> None:
+        """Exchanges between two bins, the poorest bins first, until no open bin has one.
 
         Every step increases the sum of squared fills, which is a bounded whole
-        number, so the search ends.
+        number, so the search ends. A bin without a step is looked at again only with
+        bins that have changed since.
         """
         least = self.least()
-        pairs = None
-        while self.used() > least:
+        used = self.used()
+        changed = np.zeros(len(self.fill), dtype=np.int64)  # the step that last changed a bin
+        looked = np.full(len(self.fill), -1, dtype=np.int64)  # the step after which it was found to have none
+        pairs, steps = None, 0
+        while used > least:
             is_open = (self.fill > 0) & (self.fill < self.size)
-            poor_bins = np.flatnonzero(is_open)
-            poor_bins = poor_bins[np.argsort(self.fill[poor_bins], kind="stable")][:poorest]
             if pairs is None:
                 pairs = self._pairs(np.flatnonzero(is_open).tolist())
             # a pair holds as long as its items share a bin
             pairs = pairs[self.where[pairs[:, 0]] == self.where[pairs[:, 1]]]
-            step = next((s for b in poor_bins.tolist() if (s := self._best_step(b, pairs))), None)
-            if step is None:
+            waiting = np.flatnonzero(is_open & (looked < steps))
+            waiting = waiting[np.argsort(self.fill[waiting], kind="stable")]
+            rest = waiting[16:]  # after the poorest, those not looked at for longest
+            for b in [*waiting[:16].tolist(), *rest[np.argsort(looked[rest], kind="stable")].tolist()]:
+                since = looked[b] if changed[b] <= looked[b] else -1
+                step = self._best_step(b, pairs, changed > since)
+                if step is not None:
+                    break
+                looked[b] = steps
+            else:
                 return
             poor, rich = step[:2]
             self._exchange(*step)
+            steps += 1
+            changed[[poor, rich]] = steps
+            used -= int(self.fill[poor] == 0)
             pairs = np.concatenate((pairs, self._pairs([poor, rich])))
 
     def _exchange(self, poor: int, rich: int, give: tuple[int, ...], take: tuple[int, ...]) -> None:
@@ -229,15 +242,22 @@ class Bins:
                 self.fill[source] -= self.lengths[i]
                 self.fill[target] += self.lengths[i]
 
-    def _best_step(self, poor: int, pairs: np.ndarray) -> tuple[int, int, tuple[int, ...], tuple[int, ...]] | None:
-        """The exchange of this bin with the largest growth of the sum of squares, if any grows it."""
-        gap = np.where(self.fill > 0, self.size - self.fill, 0)
+    def _best_step(self, poor: int, pairs: np.ndarray, among: np.ndarray) -> tuple[int, int, tuple[int, ...], tuple[int, ...]] | None:
+        """The exchange of this bin with one of ``among`` with the largest growth of the sum of squares, if any grows it."""
+        gap = np.where((self.fill > 0) & among, self.size - self.fill, 0)
         gap[poor] = 0
+        near = np.flatnonzero(gap)
+        if not len(near):
+            return None
         ones, twos = self._parcels(poor)
-        items = np.flatnonzero(gap[self.where] > 0)
-        pairs = pairs[gap[self.where[pairs[:, 0]]] > 0]
+        if len(near) <= 16:
+            items = np.array([i for b in near.tolist() for i in self.members[b]], dtype=np.int64)
+            pairs = self._pairs(near.tolist())
+        else:
+            items = np.flatnonzero(gap[self.where] > 0)
+            pairs = pairs[gap[self.where[pairs[:, 0]]] > 0]
         offers = (  # what may come back: nothing, one item, two items
-            (np.flatnonzero(gap), np.zeros(int((gap > 0).sum()), dtype=np.int64), lambda at: ()),
+            (near, np.zeros(len(near), dtype=np.int64), lambda at: ()),
             (self.where[items], self.lengths[items], lambda at: (int(items[at]),)),
             (self.where[pairs[:, 0]], self.lengths[pairs].sum(axis=1), lambda at: tuple(pairs[at].tolist())),
         )

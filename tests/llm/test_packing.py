@@ -97,3 +97,19 @@ def test_groups_share_no_sequence(spark):
     cut = spark.range(1000).selectExpr("id as doc_id", "0 as piece", "0L as start", "1025 + id % 1023 as length")
     rows = packing.pack(cut, 2048, group=50).collect()
     assert len(rows) == 1000 == len({r["sequence_id"] for r in rows}) and {r["offset"] for r in rows} == {0}
+
+
+def test_search_ends_only_without_a_step():
+    """No pair of open bins has an exchange that increases the squared fill, unless the bound is met."""
+    for low, high in [(500, 800), (340, 1100), (400, 900)]:
+        lengths = np.random.default_rng(low).integers(low, high, 250)
+        bins = packing.Bins(lengths, 2048)
+        bins.search()
+        if bins.used() == bins.least():
+            continue
+        sums = [[[sum(lengths[list(p)].tolist()) for p in of] for of in bins._parcels(b)] for b in range(len(bins.fill))]
+        fill = bins.fill.tolist()
+        for a, b in ((a, b) for a in range(len(fill)) for b in range(len(fill)) if a != b and fill[a] and fill[b]):
+            one, two = sums[a], sums[b]
+            for more in [g - t for g in one[0] for t in (0, *two[0], *two[1])] + [g - t for g in one[1] for t in (0, *two[0])]:
+                assert not (0 < more <= 2048 - fill[b] and fill[b] - fill[a] + more > 0)
