@@ -55,4 +55,35 @@ SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(turns) AS turns_sha25
     sha256(loss) AS loss_sha256, CAST(formatted AS BIGINT) AS formatted_chars FROM t
 """
 
-ORACLE = {"op1_warc": OP1, "op2_decontaminate": OP2, "op10_chat": OP10}
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP13 = f"""
+WITH item AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+cut AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+corpus AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM cut WHERE len(w) > 0),
+posting AS (
+    SELECT doc_id, n, term, CAST(count(*) AS BIGINT) AS tf
+    FROM (SELECT doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS term FROM cut)
+    WHERE term IN (SELECT term FROM item) GROUP BY doc_id, n, term),
+weight AS (
+    SELECT term, CAST(floor(1000 * ln(CAST(2 * max(n_docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+    FROM posting, corpus GROUP BY term),
+scored AS (
+    SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+    FROM item JOIN posting USING (term) JOIN weight USING (term), corpus GROUP BY item_id, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM scored WHERE score > 0)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM ranked WHERE place <= 10
+"""
+
+# every page of these tables marks its article, and refers to these characters only
+OP11 = r"""
+WITH article AS (
+    SELECT page_id, url, regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's'),
+        '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS t FROM pages),
+decoded AS (
+    SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(t,
+        '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#x27;', chr(39)), '&#39;', chr(39)), '&amp;', '&'), '&amp ', '& '), '\s+', ' ', 'g')) AS text FROM article)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM decoded
+"""
+
+ORACLE = {"op1_warc": OP1, "op2_decontaminate": OP2, "op10_chat": OP10, "op11_extraction": OP11, "op13_search": OP13}

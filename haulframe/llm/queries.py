@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulframe.llm import chat, decontaminate, line_dedup, mil, near_dedup, packing, quality_rules, sharding, token_counts, warc
+from haulframe.llm import (
+    chat, decontaminate, extraction, line_dedup, mil, near_dedup, packing, quality_rules, runs, search, sharding, token_counts, warc,
+)
 from haulframe.llm.storage import new_path
 
 
@@ -81,6 +83,44 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80).drop("key")
 
 
+def op11_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return extraction.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("n_shared")
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """The words of a tenth of the documents, chosen by their id, repeat with a period from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    n = F.size("_words")
+    a = F.pmod(g, n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))).cast("int")
+    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), "")
+    tail = F.flatten(F.array_repeat(F.slice("_words", a + 1, p), F.ceil((n - a) / p).cast("int")))
+    planted = F.array_join(F.concat(F.slice("_words", F.lit(1), a), F.slice(tail, F.lit(1), n - a)), " ")
+    return docs.withColumn("_words", F.when(h % 10 == 0, words)).withColumn(
+        "text", F.when(n > 0, planted).otherwise(F.col("text"))
+    ).drop("_words")
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words in all documents, after planting some, and what collapsing them leaves."""
+    found = runs.collapse_runs(with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    found = found.withColumn("best", runs.strongest())
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        digest(F.array_join(listed, "")).alias("runs_sha256"), digest(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_decontaminate": op2_decontaminate,
@@ -92,4 +132,7 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_chat": op10_chat,
+    "op11_extraction": op11_extraction,
+    "op12_runs": op12_runs,
+    "op13_search": op13_search,
 }

@@ -1,58 +1,18 @@
-"""Intermediate tables in the folder that all executors share.
-
-A written table ends the lineage: later steps read only the columns they need,
-Spark knows the table's size, and a lost executor costs a re-read.
-"""
+"""Intermediate tables in the folder that all executors share, and broadcasts of counted ones."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows (of a key and a few numbers) of a counted table that may be broadcast.
-BROADCAST_ROWS = 1_000_000
-
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a local session without one gets a temporary folder."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    if sc.applicationId not in _own:
-        _own[sc.applicationId] = tempfile.mkdtemp(prefix="haulframe-llm-")
-        atexit.register(shutil.rmtree, _own[sc.applicationId], ignore_errors=True)
-    return _own[sc.applicationId]
+from haulframe.sources.shared import new_path, remove, shared_dir, stored
 
+__all__ = ["BROADCAST_ROWS", "bounded", "new_path", "remove", "shared_dir", "stored"]
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path for a new table, below a folder of this application."""
-    return f"{shared_dir(spark)}/haulframe-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to shared storage and read back with its own schema."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Rows (of a key and a few numbers) of a counted table that may be broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def bounded(df: DataFrame) -> DataFrame:
     """A stored table of rows of fixed width, marked for broadcast if its counted rows are few."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a table written by ``new_path`` or ``stored`` (any Hadoop file system)."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
