@@ -85,7 +85,7 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
-    return extraction.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("n_shared")
+    return extraction.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
 def with_planted_runs(docs: DataFrame) -> DataFrame:
