@@ -6,6 +6,7 @@ the SQL of the same name in ``oracle``.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,10 +17,11 @@ from haulframe.functions import calendar
 from haulframe.functions import semantics as S
 from haulframe.functions import text
 from haulframe.operators import dedupe, filters, joins, order_stats, outings, reshape, top
-from haulframe.plans import cleaning, indicators, sizes, weights, zones
+from haulframe.plans import cleaning, indicators, loads, rule_tables, selections, sizes, weights, zones
 from haulframe.plans.rules import BOAT
 from haulframe.sources import columns as C
 from haulframe.sources import dimensions, exports
+from haulframe.sources.shared import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -85,6 +87,59 @@ def export_scan(spark, sf):
     )
 
 
+def _exported(bodies: DataFrame, headers: DataFrame):
+    """Export files, one per ``file``, written to the shared folder: banner, header, rows in order of ``place``. Their path."""
+    opening = headers.select("file", F.posexplode(F.array(F.lit('Export; of "the day'), F.lit("two;lines;of text"), F.col("header"))).alias("place", "value"))
+    opening = opening.select("file", F.lit(0).alias("part"), F.col("place").cast("bigint").alias("place"), "value")
+    lines = bodies.select("file", F.lit(1).alias("part"), "place", "value").unionByName(opening)
+    path = new_path(bodies.sparkSession, "exports")
+    lines.repartition("file").sortWithinPartitions("file", "part", "place").select("file", "value").write.partitionBy("file").text(path)
+    return path
+
+
+@query
+def export_multiline(spark, sf):
+    """Declarations with notes of several lines, written as one export per supplier and read back."""
+    several = F.concat(
+        F.lit('"order; '), "l_orderkey", F.lit("\n line;"), "l_linenumber", F.lit("\n\n"), F.repeat(F.lit("part\n"), (F.col("l_partkey") % 4).cast("int")), F.lit('end"')
+    )
+    one = F.when(F.col("l_linenumber") % 3 == 1, F.concat(F.lit('"order; '), "l_orderkey", F.lit('"'))).otherwise(F.concat(F.lit('5" hook '), "l_orderkey"))
+    fields = {
+        "Id_Prise": F.concat(F.lit("#"), "l_orderkey"),
+        "note": F.when(F.col("l_linenumber") % 3 == 0, several).otherwise(one),
+        "Nb de prises": F.col(C.CATCHES).cast("string"),
+        "ID_ZoneDePeche": F.coalesce(F.col(C.ZONE_ID).cast("string"), F.lit("")),
+        "Technique": F.concat(F.lit('"'), "l_partkey", F.lit("\n"), "l_suppkey", F.lit('"')),
+    }
+    d = T.lines(spark, sf).withColumn("file", F.concat(F.lit("s"), "l_suppkey"))
+    bodies = d.select("file", F.col(C.ROW_ID).alias("place"), F.concat_ws(";", *fields.values()).alias("value"))
+    headers = d.select("file").distinct().withColumn("header", F.lit(";".join(fields)))
+    found = C.normalise_names(exports.read_export(spark, _exported(bodies, headers)))
+    return pick(found, catch_id=text.digits_id(C.CATCH_ID), note="note", n_catch=C.CATCHES, zone=C.ZONE_ID, technique=C.TECHNIQUE)
+
+
+@query
+def export_headers(spark, sf):
+    """One export per supplier: three orders of columns, one of which lacks a column and has one of its own."""
+    d = T.lines(spark, sf).withColumn("file", F.concat(F.lit("s"), "l_suppkey"))
+    fields = {
+        "Id_Prise": F.concat(F.lit("#"), "l_orderkey"), "Nb de prises": F.col(C.CATCHES).cast("string"),
+        "ID_ZoneDePeche": F.coalesce(F.col(C.ZONE_ID).cast("string"), F.lit("NA")), "added": F.concat(F.lit(" p"), "l_partkey"),
+        "Durée de la session": F.round(C.DURATION).cast("string"),
+    }
+    orders = [
+        ["Id_Prise", "Nb de prises", "ID_ZoneDePeche", "Durée de la session"],
+        ["Durée de la session", "ID_ZoneDePeche", "Nb de prises", "Id_Prise"],
+        ["Nb de prises", "added", "Id_Prise", "Durée de la session"],
+    ]
+    chosen = F.col("l_suppkey") % 3
+    by_order = lambda build: F.when(chosen == 0, build(orders[0])).when(chosen == 1, build(orders[1])).otherwise(build(orders[2]))
+    bodies = d.select("file", F.col(C.ROW_ID).alias("place"), by_order(lambda o: F.concat_ws(";", *(fields[n] for n in o))).alias("value"))
+    headers = d.select("file", by_order(lambda o: F.lit(";".join(o))).alias("header")).distinct()
+    found = C.normalise_names(exports.read_export(spark, _exported(bodies, headers)))
+    return pick(found, catch_id=text.digits_id(C.CATCH_ID), n_catch=C.CATCHES, zone=C.ZONE_ID, added="added", duration=C.DURATION)
+
+
 def _written(df: DataFrame, schema: str) -> DataFrame:
     """A table as the text lines of its file."""
     names = [f.split()[0] for f in schema.split(", ")]
@@ -178,6 +233,36 @@ def keyed_patch(spark, sf):
     return d.select(*LINE_KEY, F.col(C.CATCHES).alias("n_catch"), F.col(C.NOTE).alias("note"))
 
 
+def _corrections(spark, sf):
+    """Corrections of a third of all orders, some of which contradict each other."""
+    orders = T.table(spark, sf, "orders").where(F.col("o_orderkey") % 3 == 0)
+    given = F.expr(f"""array(
+        named_struct('column', '{C.CATCHES}', 'value', CAST(o_orderkey % 11 AS DOUBLE), 'note', concat('photo ', o_orderkey), 'at', 0),
+        named_struct('column', '{C.ANGLERS}', 'value', CAST(NULL AS DOUBLE), 'note', 'crew unknown', 'at', 1),
+        named_struct('column', '{C.CATCHES}', 'value', CAST(o_orderkey % 7 AS DOUBLE), 'note', 'second photo', 'at', 2))""")
+    rows = orders.select("o_orderkey", F.explode(F.slice(given, F.lit(1), (F.col("o_orderkey") % 2 * 2 + 1).cast("int"))).alias("c"))
+    return rows.select(
+        (F.col("o_orderkey") * 4 + F.col("c.at")).alias("position"), F.col("o_orderkey").alias(C.CATCH_ID), "c.column", "c.value", "c.note"
+    )
+
+
+@query
+def keyed_patch_table(spark, sf):
+    d = cleaning.recode_zone(T.lines(spark, sf), T.RULES).withColumn(
+        C.CATCH_ID, F.when(F.col("l_suppkey") % 7 != 0, F.col("l_orderkey"))
+    )
+    d = rule_tables.correct(d, _corrections(spark, sf))
+    return d.select(*LINE_KEY, F.col(C.CATCHES).alias("n_catch"), F.col(C.ANGLERS).alias("n_anglers"), F.col(C.NOTE).alias("note"))
+
+
+@query
+def mode_cascade_table(spark, sf):
+    d = T.with_angler(T.lines(spark, sf), spark, sf)
+    t = rule_tables.tables_of(spark, T.RULES)
+    d = rule_tables.with_mode(d, t.subzones, t.techniques, T.MODES.pattern, T.MODES.pattern_mode)
+    return d.select(*LINE_KEY, F.col(C.MODE).alias("mode"))
+
+
 @query
 def audit_append(spark, sf):
     d = cleaning.recode_zone(T.lines(spark, sf), T.RULES)
@@ -395,6 +480,37 @@ def latest_period(spark, sf):
     return pick(m, year=C.YEAR, month_number=C.MONTH_NUMBER, month=C.MONTH, n_caught="n_caught")
 
 
+@query
+def monthly_rollup(spark, sf):
+    d = cleaning.with_calendar(T.lines(spark, sf))
+    m = indicators.monthly_with_totals(d)
+    return pick(m, level=F.col("level").cast("int"), year=C.YEAR, month_number=C.MONTH_NUMBER, month=C.MONTH, n_caught="n_caught")
+
+
+def _cells(spark, sf):
+    d = T.outing_lines(spark, sf)
+    return selections.selectable(d.withColumns({C.YEAR: F.year(C.SESSION), C.MONTH_NUMBER: F.month(C.SESSION)}))
+
+
+@query
+def selection_figures(spark, sf):
+    """Key figures of four selections from one table of bitmaps."""
+    cells = _cells(spark, sf)
+    chosen = {
+        "all": None, "1997": F.col(C.YEAR) == 1997, "summer": F.col(C.MONTH_NUMBER).isin(6, 7, 8),
+        "boats of zone 7 before 1996": (F.col(C.YEAR) < 1996) & (F.col(C.ZONE) == "Zone 7") & (F.col(C.MODE) == BOAT),
+    }
+    parts = [selections.figures(cells, c).withColumn("selection", F.lit(name)) for name, c in chosen.items()]
+    return functools.reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query
+def selection_by_zone(spark, sf):
+    """Outings and fruitless ones per zone in two years, from the table of bitmaps."""
+    found = selections.figures_by(_cells(spark, sf), C.ZONE, F.col(C.YEAR).isin(1995, 1996))
+    return found.withColumnRenamed(C.ZONE, "zone_name")
+
+
 @query
 def fruitless_outings(spark, sf):
     return indicators.fruitless_outings(T.outing_lines(spark, sf)).withColumnRenamed(C.ZONE, "zone_name")
@@ -553,6 +669,12 @@ def outing_id(spark, sf):
     return d.select(*LINE_KEY, F.col(C.OUTING).alias("outing"), "outing_label")
 
 
+@query
+def outing_number(spark, sf):
+    d = outings.with_numbers_by_key(T.outing_lines(spark, sf))
+    return d.select(*LINE_KEY, "outing_key", "outing_number", "outing_label")
+
+
 @query
 def uncount(spark, sf):
     """One row per fish, counted back per species and size."""
@@ -597,9 +719,43 @@ def angler_caps(spark, sf):
     return d.select(*LINE_KEY, F.col(C.ANGLERS).alias("n_anglers"), "flag")
 
 
+@query
+def count_caps_table(spark, sf):
+    t = rule_tables.tables_of(spark, T.RULES)
+    d = rule_tables.cap_catches(_for_caps(spark, sf), t.counts, t.exempt, "flag")
+    return d.select(*LINE_KEY, F.col(C.CATCHES).alias("n_catch"), "flag")
+
+
+@query
+def angler_caps_table(spark, sf):
+    d = rule_tables.cap_crews(_for_caps(spark, sf), rule_tables.tables_of(spark, T.RULES).crews, "flag")
+    d = cleaning.cap_crowds(d, T.ANGLER_LIMITS, "flag")
+    return d.select(*LINE_KEY, F.col(C.ANGLERS).alias("n_anglers"), "flag")
+
+
+@query
+def clean_pipeline_tables(spark, sf):
+    tables = rule_tables.tables_of(spark, T.RULES)
+    return _cleaned(cleaning.clean_declarations(T.raw_declarations(spark, sf), T.size_limits(spark, sf), T.RULES, tables))
+
+
+@query
+def incremental_load(spark, sf):
+    """Two exports added to a store one after the other; the second repeats much of the first."""
+    raw, limits = T.raw_declarations(spark, sf), T.size_limits(spark, sf)
+    store = loads.Store(new_path(spark, "declarations"), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    second = (F.col("Horodate") == "1") | (F.col("ID_SousZoneDePeche") == 15)
+    loads.add_load(spark, store, raw.where(~second), 1, limits, T.RULES)
+    loads.add_load(spark, store, raw.where(second), 2, limits, T.RULES)
+    return _cleaned(loads.read_store(spark, store))
+
+
 @query
 def clean_pipeline(spark, sf):
-    d = cleaning.clean_declarations(T.raw_declarations(spark, sf), T.size_limits(spark, sf), T.RULES)
+    return _cleaned(cleaning.clean_declarations(T.raw_declarations(spark, sf), T.size_limits(spark, sf), T.RULES))
+
+
+def _cleaned(d):
     return pick(
         d, row_id=C.ROW_ID, session_start=C.SESSION, weekday=C.WEEKDAY, month=C.MONTH, year=C.YEAR,
         size_mm=C.SIZE, weight_g=F.round(C.WEIGHT, 4), duration=C.DURATION, no_kill=C.NO_KILL,

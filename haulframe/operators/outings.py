@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulframe.operators.joins import match_missing
+from haulframe.operators.numbering import in_order
 from haulframe.sources import columns as C
 
 KEY = (C.ANGLER, C.SESSION, C.MODE, C.ZONE)
@@ -20,8 +21,7 @@ def outing_key(parts: Sequence[str] = KEY) -> Column:
     Only equality of outing ids matters, so the id is computed row by row
     instead of by ranking all keys.
     """
-    texts = (F.coalesce(F.col(p).cast("string"), F.lit("NA")) for p in parts)
-    return F.md5(F.concat_ws("_", *texts))
+    return F.md5(key_text(parts))
 
 
 def numbered(df: DataFrame, key: str = C.OUTING) -> DataFrame:
@@ -44,3 +44,24 @@ def numbered(df: DataFrame, key: str = C.OUTING) -> DataFrame:
 
 def with_outing_labels(df: DataFrame, key: str = C.OUTING) -> DataFrame:
     return match_missing(df, numbered(df, key), [key])
+
+
+def key_text(parts: Sequence[str] = KEY) -> Column:
+    """The outing's key as a text; a missing part is ``NA``."""
+    return F.concat_ws("_", *(F.coalesce(F.col(p).cast("string"), F.lit("NA")) for p in parts))
+
+
+def numbered_by_key(df: DataFrame, parts: Sequence[str] = KEY) -> DataFrame:
+    """(outing_key, outing_number, outing_label): outings numbered from 1 in the order of their keys' texts. Stored.
+
+    The order is that of the UTF-8 bytes. Distinct keys are dealt by ranges, so no task ranks more than its own.
+    """
+    keys = in_order(df.select(key_text(parts).alias("outing_key")).distinct(), ["outing_key"], "_number")
+    number = F.col("_number") + 1
+    text = number.cast("string")
+    label = F.concat(F.lit("S"), F.lpad(text, F.greatest(F.length(text), F.lit(6)), F.lit("0")))
+    return keys.select("outing_key", number.alias("outing_number"), label.alias("outing_label"))
+
+
+def with_numbers_by_key(df: DataFrame, parts: Sequence[str] = KEY) -> DataFrame:
+    return df.withColumn("outing_key", key_text(parts)).join(numbered_by_key(df, parts), "outing_key", "left")

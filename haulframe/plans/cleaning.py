@@ -20,6 +20,8 @@ from haulframe.operators.dedupe import keep_first_except
 from haulframe.operators.filters import since
 from haulframe.operators.joins import with_dimension
 from haulframe.operators.outings import outing_key
+from haulframe.plans import rule_tables
+from haulframe.plans.rule_tables import RuleTables
 from haulframe.plans.rules import (
     BOAT, AnglerRules, CleaningRules, Correction, CountRules, ModeRules,
 )
@@ -28,6 +30,8 @@ from haulframe.sources import columns as C
 # Columns that do not make two declarations different.
 NOT_COMPARED = (C.CATCH_ID, C.STAMP, C.LATITUDE, C.LONGITUDE, C.PHOTO)
 
+KEY = "_key"
+
 
 def with_calendar(df: DataFrame) -> DataFrame:
     return df.withColumns({
@@ -133,38 +137,73 @@ def cap_anglers(df: DataFrame, rules: AnglerRules, flag: str) -> DataFrame:
         lambda a, b: a | b,
         ((F.col(C.ZONE_ID) == zone) & (n > most) for zone, most in rules.boat_limits),
     )
-    df = _capped(df, C.ANGLERS, (F.col(C.MODE) == BOAT) & crowded, reset, flag)
-    return _capped(df, C.ANGLERS, (n > rules.limit) | (n <= 0), reset, flag)
+    return cap_crowds(_capped(df, C.ANGLERS, (F.col(C.MODE) == BOAT) & crowded, reset, flag), rules, flag)
+
+
+def cap_crowds(df: DataFrame, rules: AnglerRules, flag: str) -> DataFrame:
+    """The general bounds on the number of anglers."""
+    n = F.col(C.ANGLERS)
+    return _capped(df, C.ANGLERS, (n > rules.limit) | (n <= 0), F.lit(float(rules.reset)), flag)
 
 
-def cap_outliers(df: DataFrame, rules: CleaningRules) -> DataFrame:
+def cap_outliers(df: DataFrame, rules: CleaningRules, tables: RuleTables | None = None) -> DataFrame:
     df = df.withColumns({"_odd_catches": F.lit(False), "_odd_anglers": F.lit(False)})
-    df = cap_catches(df, rules.counts, "_odd_catches")
+    if tables:
+        df = rule_tables.cap_catches(df, tables.counts, tables.exempt, "_odd_catches")
+    else:
+        df = cap_catches(df, rules.counts, "_odd_catches")
     df = cap_kept_released(df, rules.counts, "_odd_catches")
-    df = cap_anglers(df, rules.anglers, "_odd_anglers")
+    if tables:
+        df = cap_crowds(rule_tables.cap_crews(df, tables.crews, "_odd_anglers"), rules.anglers, "_odd_anglers")
+    else:
+        df = cap_anglers(df, rules.anglers, "_odd_anglers")
     df = df.withColumn(C.NOTE, add_note(C.NOTE, rules.counts.note, F.col("_odd_catches")))
     df = df.withColumn(C.NOTE, add_note(C.NOTE, rules.anglers.note, F.col("_odd_anglers")))
     return df.drop("_odd_catches", "_odd_anglers")
 
 
+def compared_key(df: DataFrame) -> Column:
+    """Digest of all that makes two declarations different.
+
+    A missing value and a column that an export lacks are the same.
+    """
+    compared = sorted(c for c in df.columns if c not in NOT_COMPARED and not c.startswith("_"))
+    # a number has one text, whatever the sign of its zero
+    plain = ((F.col(c) + 0.0 if df.schema[c].dataType.simpleString() == "double" else F.col(c)).alias(c) for c in compared)
+    return F.unhex(F.md5(F.to_json(F.struct(*plain)).cast("binary")))
+
+
 def clean_declarations(
-    raw: DataFrame, size_limits: DataFrame, rules: CleaningRules | None = None
+    raw: DataFrame, size_limits: DataFrame, rules: CleaningRules | None = None, tables: RuleTables | None = None,
+    seen: DataFrame | None = None,
 ) -> DataFrame:
-    """The whole cleaning. ``raw`` needs a ``_row_id`` (its order in the file)."""
+    """The whole cleaning. ``raw`` needs a ``_row_id`` (its order in the file).
+
+    With ``tables`` corrections, modes, catch caps and crews come from them. ``seen`` are keys (``_key``) of declarations
+    loaded before, which are duplicates; the result then keeps its keys.
+    """
     rules = rules or CleaningRules()
     C.require_columns(raw, (*C.RAW_REQUIRED, C.ROW_ID))
     named = C.normalise_names(raw)
+
+    def unseen(d: DataFrame) -> DataFrame:
+        return d.withColumn(KEY, compared_key(d)).join(seen.select(KEY), KEY, "left_anti")
+
     steps = (
         lambda d: since(d, rules.date_min),
         fix_values,
         lambda d: keep_first_except(d, NOT_COMPARED, C.ROW_ID),
+        lambda d: unseen(d) if seen is not None else d,
         with_calendar,
         lambda d: recode_zone(d, rules),
-        lambda d: correct(d, rules.corrections),
+        lambda d: rule_tables.correct(d, tables.corrections) if tables else correct(d, rules.corrections),
         lambda d: with_dimension(d, size_limits, [C.SPECIES], [C.SIZE_MAX, C.WEIGHT_MAX]),
-        lambda d: d.withColumn(C.MODE, fishing_mode(rules.modes)),
+        lambda d: (
+            rule_tables.with_mode(d, tables.subzones, tables.techniques, rules.modes.pattern, rules.modes.pattern_mode)
+            if tables else d.withColumn(C.MODE, fishing_mode(rules.modes))
+        ),
         lambda d: d.withColumn(C.MEMBER, present_label(C.FEDERATION)),
-        lambda d: cap_outliers(d, rules),
+        lambda d: cap_outliers(d, rules, tables),
         lambda d: d.withColumn(C.OUTING, outing_key()),
     )
     return reduce(lambda d, step: step(d), steps, named)

@@ -41,9 +41,11 @@ def centimetres(millimetres: str) -> Column:
 
 def key_figures(df: DataFrame) -> DataFrame:
     """Distinct anglers, distinct outings and the total catch, in one row."""
-    per_outing = df.groupBy(C.OUTING, C.ANGLER).agg(F.sum(C.CATCHES).alias("_catch"))
-    # an outing's key holds its angler, so outings are pairs; anglers need one more step
-    per_angler = per_outing.groupBy(C.ANGLER).agg(F.sum("_catch").alias("_catch"), F.count(F.lit(1)).alias("_outings"))
+    per_outing = df.groupBy(C.OUTING).agg(F.sum(C.CATCHES).alias("_catch"), F.collect_set(F.struct(C.ANGLER)).alias("_who"))
+    # an outing has one angler, but a missing one and one named like it share its id
+    who = per_outing.select("_catch", F.posexplode("_who").alias("_at", "_angler"))
+    first = F.col("_at") == 0
+    per_angler = who.groupBy(f"_angler.{C.ANGLER}").agg(F.sum(F.when(first, F.col("_catch"))).alias("_catch"), F.count_if(first).alias("_outings"))
     return per_angler.agg(
         F.count(F.lit(1)).alias("n_anglers"),
         F.coalesce(F.sum("_outings"), F.lit(0)).alias("n_outings"),
@@ -107,6 +109,17 @@ def monthly_catch(df: DataFrame) -> DataFrame:
     )
 
 
+def monthly_with_totals(df: DataFrame) -> DataFrame:
+    """Catch per month, per year and in all, from one aggregation.
+
+    ``level`` is 0 for a month, 1 for a year and 3 for the total; an undated month is a month.
+    """
+    levels = [[C.YEAR, C.MONTH_NUMBER], [C.YEAR], []]
+    return df.groupingSets([[F.col(c) for c in x] for x in levels], C.YEAR, C.MONTH_NUMBER).agg(
+        F.grouping_id().alias("level"), sum0(C.CATCHES).alias("n_caught")
+    ).withColumn(C.MONTH, F.when(F.col("level") == 0, calendar.month_label_of_number(C.MONTH_NUMBER)))  # a total has no month to label
+
+
 def month_order() -> list[Column]:
     """Calendar order, undated last."""
     return [F.col(C.YEAR).asc_nulls_last(), F.col(C.MONTH_NUMBER).asc_nulls_last()]

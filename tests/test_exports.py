@@ -39,7 +39,7 @@ IRREGULAR = {
     "no number": "2;2025-03-01 08:00:00;much;1;a;1;1;",
     "too short": "3;2025-03-01 08:00:00;1",
     "too long": "4;2025-03-01 08:00:00;1;1;a;1;1;;;",
-    "line break in quotes": '5;2025-03-01 08:00:00;1;1;"a\nb";1;1;',
+    "open quote": '5;2025-03-01 08:00:00;1;1;"a;1;1;',
 }
 
 
@@ -93,11 +93,83 @@ def test_many_files_and_splits(spark, tmp_path):
         assert [n for _, n in one] == sorted(n for _, n in one)
 
 
-def test_wrong_headers(spark, tmp_path):
-    write(tmp_path / "a.csv", ["1;2025-01-01 00:00:00;1;1;a;1;1;"] * 50)
-    write(tmp_path / "b.csv", ["1;2"], header="Id_Prise;Poids (g)")
-    with pytest.raises(Exception, match="another header"):
+def test_a_header_per_file(spark, tmp_path):
+    write(tmp_path / "a.csv", ["1;2025-01-01 00:00:00;11;5;a;1;1;x"] * 50)
+    write(tmp_path / "b.csv", ["7;2", "8;"], header="Poids (g);Id_Prise", bom="\ufeff")
+    write(tmp_path / "c.csv", ['"new\none";3;12'], header='"plus";Id_Prise; Taille (mm) ')
+    write(tmp_path / "d.csv", [])
+    d = exports.read_export(spark, str(tmp_path))
+    assert d.columns == [C.ROW_ID, *HEADER.split(";"), "plus"]
+    rows = {(r["Id_Prise"], r["Poids (g)"], r["Taille (mm)"], r["plus"], r["NomVernaculaire"]) for r in d.collect()}
+    assert rows == {("1", 5, 11, None, "a"), ("2", 7, None, None, None), (None, 8, None, None, None), ("3", None, 12, "new\none", None)}
+    write(tmp_path / "e.csv", ["1;2;3"], header="Poids (g);Id_Prise")  # more fields than its own header
+    with pytest.raises(Exception, match="unreadable row"):
         exports.read_export(spark, str(tmp_path)).collect()
+    marked = exports.read_export(spark, str(tmp_path), unreadable="mark").where(F.col(C.UNREADABLE).isNotNull()).collect()
+    assert [r[C.UNREADABLE] for r in marked] == ["1;2;3"]
+
+
+@pytest.fixture
+def tiny_splits(spark):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "150")
+    spark.conf.set("spark.sql.files.openCostInBytes", "10")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def records_of(texts):
+    """(id, name) by reading characters one after another."""
+    out = []
+    for text in texts:
+        rows, row, field, inside = [], [], "", False
+        for c in text + "\n":
+            if inside:
+                inside = c != '"'
+                field += c if inside else ""
+            elif c == '"' and not field.strip():
+                field, inside = "", True
+            elif c in ";\n":
+                row, field = [*row, field.strip(" ")], ""
+                if c == "\n":
+                    rows, row = [*rows, row], []
+            else:
+                field += c
+        out += [r for r in rows if r != [""]]
+    return sorted((r[0], r[4] or None) for r in out)
+
+
+def test_records_across_splits(spark, tmp_path, tiny_splits):
+    import random
+
+    random.seed(5)
+    words = ["", "plain", '5" hook', '"one\ntwo"', '" a;b\n\n;c"', '"x;y"', '"' + "\n".join(f"line {i};" for i in range(30)) + '"', '"\n"', 'tail"']
+    texts = []
+    for n in range(3):
+        rows = [f"{n * 1000 + j};2025-01-01 00:00:00;1;1;{random.choice(words)};1;1;" for j in range(50)]
+        texts.append("\n".join(rows))
+        write(tmp_path / f"f{n}.csv", rows, banner=('An "open quote in the banner', "two"))
+    d = exports.read_export(spark, str(tmp_path))
+    assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20 and "Python" not in d._jdf.queryExecution().toString()
+    found = sorted((r["Id_Prise"], r["NomVernaculaire"]) for r in d.collect())
+    assert found == [(i, n and (n.strip(" ") or None)) for i, n in records_of(texts)]
+    order = [int(r["Id_Prise"]) for r in d.orderBy(C.ROW_ID).collect()]
+    assert all([x for x in order if x // 1000 == n] == sorted(x for x in order if x // 1000 == n) for n in range(3))
+
+
+def test_a_quote_that_never_closes_loses_no_line(spark, tmp_path, tiny_splits):
+    rows = [f'{i};2025-01-01 00:00:00;1;1;{"" if i != 20 else chr(34)}a;1;1;' for i in range(60)]
+    f = write(tmp_path / "a.csv", rows)
+    marked = exports.read_export(spark, f, unreadable="mark").collect()
+    assert [r[C.UNREADABLE] for r in marked if r[C.UNREADABLE]] == [rows[20]] and len(marked) == 60
+    closed = rows[:50] + ['50;2025-01-01 00:00:00;1;1;"b";1;1;'] + rows[51:]
+    f = write(tmp_path / "b.csv", closed)  # 31 lines are one field, unless a row may not be so long
+    assert len(exports.read_export(spark, f, unreadable="mark").collect()) == 30
+    assert len(exports.read_export(spark, f, unreadable="mark", most_lines=30).collect()) == 60
+
+
+def test_wrong_headers(spark, tmp_path):
     with pytest.raises(C.MissingColumnsError):
         exports.read_export(spark, write(tmp_path / "c.txt", [], banner=(), header="only"))
     with pytest.raises(C.MissingColumnsError, match="repeats"):
