@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulframe.llm.storage import bounded, stored
+from haulframe.llm.storage import bounded, remove_stored, stored
 
 
 def _print(edges: DataFrame) -> tuple[int, int]:
@@ -26,14 +26,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     seen = _print(now)
     while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "lowest")
+        lowest = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "lowest")
         # larger neighbours go to the smallest vertex known
-        large = both.where(F.col("v") > F.col("u")).join(bounded(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.where(F.col("v") > F.col("u")).join(bounded(lowest), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stored(large, "large")
         # then smaller neighbours do
         low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
         small = large.join(bounded(low), "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        last, now = now, stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        remove_stored(last, lowest, large, low)
         before, seen = seen, _print(now)
         if before == seen:
             break

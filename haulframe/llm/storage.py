@@ -5,14 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulframe.sources.shared import new_path, remove, shared_dir, stored
+from pyspark.sql import types as T
 
-__all__ = ["BROADCAST_ROWS", "bounded", "new_path", "remove", "shared_dir", "stored"]
+from haulframe.sources.shared import new_path, remove, shared_dir
 
-#: Rows (of a key and a few numbers) of a counted table that may be broadcast.
-BROADCAST_ROWS = 1_000_000
+__all__ = ["BROADCAST_BYTES", "bounded", "new_path", "remove", "remove_stored", "shared_dir", "stored"]
+
+#: Bytes of a counted table that may be broadcast.
+BROADCAST_BYTES = 32_000_000
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to shared storage and read back with its own schema."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def remove_stored(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` returned, once nothing reads them any more."""
+    for df in tables:
+        if path := getattr(df, "_stored_at", None):
+            remove(df.sparkSession, path)
+
+
+def _width(kind: T.DataType) -> int:
+    """Bytes of a value, about; texts count as keys, which they are in tables that are broadcast."""
+    if isinstance(kind, T.StructType):
+        return sum(_width(f.dataType) for f in kind)
+    return 8 if isinstance(kind, (T.NumericType, T.BooleanType, T.DatetimeType)) else 32
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """A stored table of rows of fixed width, marked for broadcast if its counted rows are few."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """A stored table of rows of fixed width, marked for broadcast if its counted rows take few bytes."""
+    return F.broadcast(df) if df.count() * (16 + _width(df.schema)) <= BROADCAST_BYTES else df
