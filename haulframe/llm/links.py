@@ -249,13 +249,13 @@ def _links_inside(rows: DataFrame, texts: Callable[[DataFrame], DataFrame], sets
 
 
 def similar_components(
-    members: DataFrame, sigs: DataFrame | None, texts: Callable[[DataFrame], DataFrame],
+    members: DataFrame, sigs: DataFrame, texts: Callable[[DataFrame], DataFrame],
     sets: Callable[[list[bytes]], list[np.ndarray]], percent: int, k: int,
 ) -> DataFrame:
     """(id, component) of all items that have a confirmed link.
 
     ``members`` (node, rid) says who meets, ``sigs`` (rid, sig) has the signatures of
-    ``k`` numbers (without it, the first step confirms all its pairs and the second is left out, as suits small sets), ``texts`` gives (rid, text as bytes) for a stored table of ids, and
+    ``k`` numbers, ``texts`` gives (rid, text as bytes) for a stored table of ids, and
     ``sets`` the sorted sets of a list of texts.
     """
     def components(links: DataFrame) -> DataFrame:
@@ -272,20 +272,7 @@ def similar_components(
         return stored(classed.join(bounded(mixed), "node"), "open")
 
     def compared(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs, "pairs")
-        return pairs if sigs is None else _alike(pairs, sigs, least)
-
-    def bounded_step(rows: DataFrame, links: DataFrame, known: DataFrame, tried: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        reach = _reach(stored(rows.select("rid").distinct(), "ids"), texts, sets)
-        rows = still_open(_reachable(rows.join(bounded(reach), "rid"), percent), known)
-        fewest = rows.groupBy("node").agg(F.min_by("rid", F.struct("own", "rid")).alias("pivot"))
-        star = rows.join(bounded(stored(fewest, "pivots")), "node").where(F.col("rid") != F.col("pivot"))
-        star = compared(_pairs(star, "rid", "pivot").join(bounded(tried), ["a", "b"], "left_anti"))
-        if not star.isEmpty():
-            links = links.unionByName(_confirmed(star, texts, sets, percent))
-            known = components(links)
-            rows = still_open(rows, known)
-        return links, known, rows
+        return _alike(stored(pairs, "pairs"), sigs, least)
 
     least = least_agreement(percent / 100, k)
     meeting = _meeting(members)
@@ -296,11 +283,41 @@ def similar_components(
     if rows.isEmpty():
         return known.select(F.col("rid").alias("id"), "component")
 
-    if sigs is not None:
-        links, known, rows = bounded_step(rows, links, known, tried)
+    reach = _reach(stored(rows.select("rid").distinct(), "ids"), texts, sets)
+    rows = still_open(_reachable(rows.join(bounded(reach), "rid"), percent), known)
+    fewest = rows.groupBy("node").agg(F.min_by("rid", F.struct("own", "rid")).alias("pivot"))
+    star = rows.join(bounded(stored(fewest, "pivots")), "node").where(F.col("rid") != F.col("pivot"))
+    star = compared(_pairs(star, "rid", "pivot").join(bounded(tried), ["a", "b"], "left_anti"))
+    if not star.isEmpty():
+        links = links.unionByName(_confirmed(star, texts, sets, percent))
+        known = components(links)
+        rows = still_open(rows, known)
+
     if rows.isEmpty():
         return known.select(F.col("rid").alias("id"), "component")
     rest = stored(_links_inside(rows, texts, sets, percent), "links")
     if not rest.isEmpty():
         known = components(links.unionByName(rest))
     return known.select(F.col("rid").alias("id"), "component")
+
+
+def links_of_nodes(
+    members: DataFrame, texts: Callable[[DataFrame], DataFrame], sets: Callable[[list[bytes]], list[np.ndarray]], percent: int
+) -> DataFrame:
+    """Links (a, b) that connect all similar members of every node, for small sets.
+
+    Every member is compared with one of its node. Those that are similar to that one are a class, all others their own;
+    where there is more than one class, members of different classes are compared exhaustively.
+    """
+    meeting = _meeting(members)
+    star = meeting.where(F.col("rid") != F.col("pivot"))
+    links = _confirmed(stored(_pairs(star, "rid", "pivot"), "pairs"), texts, sets, percent)
+    with_pivot = links.select("a", "b", F.lit(True).alias("linked"))
+    classed = meeting.withColumns({"a": F.least("rid", "pivot"), "b": F.greatest("rid", "pivot")}).join(bounded(with_pivot), ["a", "b"], "left")
+    classed = classed.withColumn("component", F.when(F.col("linked"), F.col("pivot")).otherwise(F.col("rid")))
+    mixed = classed.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    mixed = stored(mixed.where(F.col("low") != F.col("high")).select("node"), "mixed")
+    if mixed.isEmpty():
+        return links
+    rows = stored(classed.join(bounded(mixed), "node").select("node", "rid", "component", "n"), "open")
+    return links.unionByName(stored(_links_inside(rows, texts, sets, percent), "links"))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from haulframe.llm.links import similar_components
 from haulframe.llm.minhash import leaves, signatures
 from haulframe.llm.numtext import CHUNK, LOWER, Words, chunks, parts
-from haulframe.llm.storage import bounded, stored
+from haulframe.llm.storage import bounded, remove_stored, stored
 
 NUMBERS = 96
 TREES = 12
@@ -100,7 +100,10 @@ def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80,
     k: int = NUMBERS, trees: int = TREES, depth: int = DEPTH,
 ) -> DataFrame:
-    """Per row: doc_id, key (MD5 of the text), n_shingles, component_id, kept (doc_id is component_id)."""
+    """Per row: doc_id, key (MD5 of the text), n_shingles, component_id, kept (doc_id is component_id).
+
+    And ``group``, which is equal for rows of one component and differs from that of any other row with words.
+    """
     seen = stored(facts(docs, doc_id, text, words, k), "facts")
     named = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id")
     items = seen.where(F.col("n_shingles") > 0).groupBy("digest").agg(
@@ -121,26 +124,35 @@ def near_duplicates(
     components = similar_components(_leaves(items, trees, depth, similarity), items, texts, sets, percent, k)
     classed = items.join(components, F.col("rid") == F.col("id"), "left").withColumn("component", F.coalesce("component", "rid"))
     names = stored(classed.groupBy("component").agg(F.min("first").alias("name")), "names")
-    by_set = stored(classed.select("digest", "component").join(names, "component").select("digest", F.col("name.doc_id").alias("component_id")), "sets")
+    by_set = stored(classed.select("digest", "component").join(names, "component").select(
+        "digest", F.col("component").alias("group"), F.col("name.doc_id").alias("component_id")
+    ), "sets")
     alone = F.col("n_shingles") == 0
     return (
         seen.drop("sig").join(by_set, "digest", "left")
         .withColumn("component_id", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")))
-        .select("doc_id", "key", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+        .select("doc_id", "key", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "group")
     )
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each component, all columns kept.
 
-    Of rows with the same id and text one stays.
+    Of rows with the same id and text one stays; ids may repeat or be missing.
     """
-    found = stored(near_duplicates(docs, doc_id, text, words, percent).select("doc_id", "key", "kept"), "found")
+    found = near_duplicates(docs, doc_id, text, words, percent).select("doc_id", "key", "group")
+    found = stored(found, "found")
+    # the row that stays: the smallest id, missing ones last, then the smallest key
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")
+    firsts = found.where(F.col("group").isNotNull()).groupBy("group").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    firsts = stored(firsts.where(F.col("first") != F.col("last")).select("group", "first"), "firsts")
+    dropped = found.join(bounded(firsts), "group").where(place != F.col("first"))
+    rename = lambda df: df.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+    dropped = stored(rename(dropped).distinct(), "dropped")
+    repeated = stored(rename(found.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")), "repeated")
+    remove_stored(found, firsts)
     keyed = docs.withColumn("_near_key", text_key(F.col(text)))
     same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_near_key") == F.col("_key"))
-    rename = lambda df: df.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
-    dropped = stored(rename(found.where(~F.col("kept"))).distinct(), "dropped")
-    repeated = stored(rename(found.where("kept").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")), "repeated")
     out = keyed.join(bounded(dropped), same, "left_anti")
     if repeated.isEmpty():
         return out.drop("_near_key")

@@ -80,7 +80,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80).drop("key")
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80).drop("key", "group")
 
 
 def op11_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,13 +34,20 @@ def base32(hex_digest: Column, n_hex: int = 40) -> Column:
     return F.translate(F.concat(*parts), DIGITS, BASE32)
 
 
+#: Characters that end a line or cannot stand in a header: controls, and the separators of Unicode.
+_UNSAFE = [*map(chr, range(32)), "\x7f", "\x85", "\u2028", "\u2029"]
+
+
 def _uri(c: Column) -> Column:
-    """A line break inside a URL would end its header line; it is percent-encoded."""
-    return F.replace(F.replace(c, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    """Characters that would end or blur a header line are percent-encoded."""
+    escaped = c
+    for x in _UNSAFE:
+        escaped = F.replace(escaped, F.lit(x), F.lit("".join(f"%{b:02X}" for b in x.encode())))
+    return F.when(c.rlike("[\\x00-\\x1F\\x7F\\x85\\u2028\\u2029]"), escaped).otherwise(c)
 
 
 def _record_id(page_id: Column, copy: Column) -> Column:
-    return F.concat(F.lit(f"<{ID_PREFIX}"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(":"), copy.cast("string"), F.lit(">"))
+    return F.concat(F.lit(f"<{ID_PREFIX}"), F.coalesce(_uri(page_id.cast("string")), F.lit("")), F.lit(":"), copy.cast("string"), F.lit(">"))
 
 
 def write_archive(
@@ -106,7 +113,7 @@ def write_archive(
 def header_field(name: str, header: Column | None = None) -> Column:
     """Value of a named field of a record header, NULL where the line is missing."""
     header = F.col("header") if header is None else header
-    value = F.regexp_extract(header, rf"(?m)^{name}: ([^\r\n]*)$", 1)
+    value = F.regexp_extract(header, rf"(?md)^{name}: ([^\r\n]*)\r?$", 1)
     return F.when(F.contains(header, F.lit(f"\n{name}: ")), value)
 
 
@@ -133,19 +140,19 @@ def warc_record(df: DataFrame) -> DataFrame:
     ))
 
 
-def _page(record_id: Column) -> Column:
+def _page(record_id: Column, id_type: str) -> Column:
     number = F.regexp_extract(record_id, f"{ID_PREFIX}(.*):\\d+>$", 1)
-    return F.when(number != "", number).cast("long")
+    return F.when(number != "", number).cast(id_type)
 
 
-def record_report(records: DataFrame) -> DataFrame:
-    """What the headers of ``read_archive`` say, checked against the payloads."""
+def record_report(records: DataFrame, id_type: str = "bigint") -> DataFrame:
+    """What the headers of ``read_archive`` say, checked against the payloads; ids are read as ``id_type``."""
     said = F.regexp_extract(header_field("WARC-Payload-Digest"), "sha1:(.*)", 1)
     return records.select(
-        _page(header_field("WARC-Record-ID")).alias("page_id"),
+        _page(header_field("WARC-Record-ID"), id_type).alias("page_id"),
         "payload_bytes",
         F.when(said == F.col("payload_digest"), said)
         .otherwise(F.raise_error(F.lit("a header names another payload"))).alias("payload_digest"),
         header_field("WARC-Type").alias("record_type"),
-        _page(header_field("WARC-Refers-To")).alias("refers_to"),
+        _page(header_field("WARC-Refers-To"), id_type).alias("refers_to"),
     )

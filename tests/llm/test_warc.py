@@ -69,3 +69,24 @@ def test_damaged_payload_is_noticed(spark):
     spark.read.parquet(f"{path}/records").write.parquet(f"{other}/records")
     with pytest.raises(Exception, match="damaged payload"):
         warc.read_archive(spark, other).collect()
+
+
+def test_urls_with_line_ends(spark, tmp_path):
+    """A URL cannot end its header line, whatever counts as a line end."""
+    fake = "WARC-Payload-Digest: sha1:AAAA"
+    rows = [(i, f"http://a/{c}{fake}{c}WARC-Refers-To: <urn:haulframe:page:99:1>", f"body {i % 2}") for i, c in enumerate("\r\n\x0b\x0c\x1c\x85\u2028\u2029")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    path = str(tmp_path / "archive")
+    warc.write_archive(pages, path)
+    found = sorted(map(tuple, warc.record_report(warc.read_archive(spark, path)).collect()))
+    assert [(r[0], r[3], r[4]) for r in found] == [(i, "response" if i < 2 else "revisit", None if i < 2 else i % 2) for i in range(len(rows))]
+    urls = [r["u"] for r in warc.read_archive(spark, path).select(warc.header_field("WARC-Target-URI").alias("u")).collect()]
+    assert all(u.startswith("http://a/%") and fake in u for u in urls) and "http://a/%E2%80%A8" in "".join(urls)
+
+
+def test_text_ids(spark, tmp_path):
+    pages = spark.createDataFrame([("a:1>", "u", "x"), ("b\u2028", "u", "x"), (None, "u", "y")], "page_id string, url string, html string")
+    path = str(tmp_path / "archive")
+    warc.write_archive(pages, path)
+    found = {r["page_id"]: r["refers_to"] for r in warc.record_report(warc.read_archive(spark, path), "string").collect()}
+    assert found == {"a:1>": None, "b%E2%80%A8": "a:1>", None: None}
