@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from haulframe.llm import decontaminate, line_dedup, mil, near_dedup
 from haulframe.llm.queries import pack, table
-from haulframe.llm.storage import stored
+from haulframe.llm.storage import remove_stored, stored
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,5 +60,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        remove_stored(before)  # the tables of the input are not ours and stay
     return STAGES[-1][1](spark, docs, sf_dir)
