@@ -96,14 +96,11 @@ def _leaves(items: DataFrame, trees: int, depth: int, similarity: float) -> Data
     return items.select("rid", "sig").mapInArrow(walked, "node bigint, rid bigint")
 
 
-def near_duplicates(
+def grouped(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80,
     k: int = NUMBERS, trees: int = TREES, depth: int = DEPTH,
 ) -> DataFrame:
-    """Per row: doc_id, key (MD5 of the text), n_shingles, component_id, kept (doc_id is component_id).
-
-    And ``group``, which is equal for rows of one component and differs from that of any other row with words.
-    """
+    """As `near_duplicates`, with ``group``, which is equal for rows of one component and missing without words."""
     seen = stored(facts(docs, doc_id, text, words, k), "facts")
     named = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id")
     items = seen.where(F.col("n_shingles") > 0).groupBy("digest").agg(
@@ -135,12 +132,20 @@ def near_duplicates(
     )
 
 
+def near_duplicates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80,
+    k: int = NUMBERS, trees: int = TREES, depth: int = DEPTH,
+) -> DataFrame:
+    """Per row: doc_id, key (MD5 of the text), n_shingles, component_id, kept (doc_id is component_id)."""
+    return grouped(docs, doc_id, text, words, percent, k, trees, depth).drop("group")
+
+
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each component, all columns kept.
 
     Of rows with the same id and text one stays; ids may repeat or be missing.
     """
-    found = near_duplicates(docs, doc_id, text, words, percent).select("doc_id", "key", "group")
+    found = grouped(docs, doc_id, text, words, percent).select("doc_id", "key", "group")
     found = stored(found, "found")
     # the row that stays: the smallest id, missing ones last, then the smallest key
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")
