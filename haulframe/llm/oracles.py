@@ -86,4 +86,72 @@ decoded AS (
 SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM decoded
 """
 
-ORACLE = {"op1_warc": OP1, "op2_decontaminate": OP2, "op10_chat": OP10, "op11_extraction": OP11, "op13_search": OP13}
+
+_RULES = (("n_symbols", "n_words", 1), ("n_dup_lines", "n_lines", 1), ("n_repeat_words", "n_words", 1), ("word_chars", "n_words", 1), ("word_chars", "n_words", -1))
+
+
+def _class(part: str, whole: str, sign: int) -> str:
+    x = f"(1000 * {part} // greatest({whole}, 1))"
+    dropped = f"CAST(greatest(length(bin({x})) - 7, 0) AS BIGINT)"
+    return f"{sign} * (64 * {dropped} + ({x} >> {dropped}))"
+
+
+OP7 = rf"""
+WITH doc AS (
+    SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+place AS (
+    SELECT r, i, count(*) OVER (PARTITION BY r, array_to_string(w[i:i + 4], ' ')) AS n
+    FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM doc WHERE len(w) >= 5)),
+again AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM place WHERE n > 1) GROUP BY r),
+m AS (
+    SELECT r, doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+        CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+        CAST(len(lines) AS BIGINT) AS n_lines
+    FROM doc LEFT JOIN again USING (r)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
+value AS (
+    SELECT r, doc_id, lang, unnest([1, 2, 3, 4, 5]) AS rule, unnest([{", ".join(_class(*x) for x in _RULES)}]) AS c FROM b WHERE NOT base_failed),
+mark AS (SELECT doc_id, max(quality) = 1 AS good FROM labels GROUP BY doc_id HAVING max(quality) IS NOT NULL),
+seen AS (SELECT value.*, good, substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) >= '4' AS holdout FROM value JOIN mark USING (doc_id)),
+tally AS (
+    SELECT lang, rule, c, count(*) FILTER (WHERE good) AS n_good, count(*) FILTER (WHERE NOT good) AS n_bad
+    FROM seen WHERE NOT holdout GROUP BY ALL),
+tail AS (
+    SELECT *, coalesce(sum(n_good) OVER worse, 0) AS above, coalesce(sum(n_bad) OVER worse, 0) AS bad_above,
+        sum(n_good) OVER (PARTITION BY lang, rule) AS all_good, sum(n_bad) OVER (PARTITION BY lang, rule) AS all_bad
+    FROM tally WINDOW worse AS (PARTITION BY lang, rule ORDER BY c DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+cut AS (
+    SELECT lang, rule, [worst + 64, worst + 32, worst + 16, worst + 8, worst, c1, c2, c3, c4, c5] AS cuts
+    FROM (
+        SELECT lang, rule, max(c) FILTER (WHERE n_good > 0) AS worst,
+            {", ".join(f"min(c) FILTER (WHERE n_good > 0 AND above <= CAST({0.02 * part} AS DOUBLE) * all_good) AS c{i}" for i, part in enumerate((0.0625, 0.125, 0.25, 0.5, 1.0), 1))},
+            min_by(bad_above * all_good - above * all_bad, c) FILTER (WHERE n_good > 0 AND above <= CAST(0.02 AS DOUBLE) * all_good) AS gain
+        FROM tail GROUP BY lang, rule)
+    WHERE gain > 0),
+first AS (
+    SELECT value.r, min(len(list_filter(cuts, lambda x: x >= c))) AS step
+    FROM value JOIN cut ON value.lang IS NOT DISTINCT FROM cut.lang AND value.rule = cut.rule GROUP BY value.r),
+judged AS (SELECT s.lang, good, holdout, coalesce(step, 10) AS step FROM (SELECT DISTINCT r, lang, good, holdout FROM seen) s LEFT JOIN first USING (r)),
+per AS (
+    SELECT lang, j, count(*) FILTER (WHERE holdout AND good) AS n, count(*) FILTER (WHERE holdout AND good AND step <= j) AS k,
+        count(*) FILTER (WHERE NOT holdout AND NOT good AND step <= j) * count(*) FILTER (WHERE NOT holdout AND good)
+        - count(*) FILTER (WHERE NOT holdout AND good AND step <= j) * count(*) FILTER (WHERE NOT holdout AND NOT good) AS gain
+    FROM judged, range(10) AS steps(j) GROUP BY lang, j),
+tested AS (SELECT *, 0.05 / count(DISTINCT coalesce('=' || lang, '')) OVER () AS level FROM per WHERE n * ln(0.98) <= ln(0.05)),
+fine AS (
+    SELECT lang, j, gain, level >= (
+        SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.02) + (n - i) * ln(0.98)))
+        FROM (SELECT unnest(range(k + 1)) AS i)) AS ok
+    FROM tested),
+taken AS (
+    SELECT lang, least(coalesce(min(j) FILTER (WHERE NOT ok), 10), CASE WHEN max(gain) > 0 THEN arg_max(j, gain * 100 - j) + 1 ELSE 0 END) AS n_steps
+    FROM fine GROUP BY lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND NOT coalesce(step < n_steps, false) AS kept
+FROM b LEFT JOIN first USING (r) LEFT JOIN taken ON b.lang IS NOT DISTINCT FROM taken.lang
+"""
+
+ORACLE = {"op1_warc": OP1, "op2_decontaminate": OP2, "op7_quality_rules": OP7, "op10_chat": OP10, "op11_extraction": OP11, "op13_search": OP13}

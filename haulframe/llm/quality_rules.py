@@ -1,15 +1,28 @@
 """Quality rules whose cutoffs keep a promise on labelled documents.
 
-Fixed base rules come first. Each further rule rejects texts whose measure lies beyond
-a cutoff, one per stratum. A cutoff is used only if an exact binomial test on the
-labelled good documents of the stratum shows that it rejects at most its share of
-them: the chance of so few rejections, were the true rate above that share, is below
-``error`` divided by the number of all tests (strata, rules and cutoffs). The
-shares of the rules add up to ``risk``, so in each stratum at most ``risk`` of good
-documents are rejected by the fitted rules. Where labels do not suffice, a rule rejects nothing.
+Fixed base rules come first. Further rules reject texts whose measures lie beyond
+cutoffs. Labelled documents that pass the base rules are parted by a digest of their id:
+
+- a quarter shapes, per stratum, one path of rule sets from mild to strict. A step
+  of the path has a cutoff for every rule that parts bad from good documents there; the
+  cutoffs come from the good documents' own values, and later steps reject all that
+  earlier ones do. The path ends where the share of rejected bad documents exceeds that of good ones most;
+- the others, the holdout, walk the path. A step is taken if the exact binomial
+  chance of so few rejected good documents, were the true share above ``risk``, is at most
+  ``error / strata``, and the first step that fails ends the walk. Steps tested in a fixed
+  order need no correction among themselves. The strata are corrected for, but for those whose holdout
+  is so small that no outcome could pass: they take no step and are not tested.
+
+So with a chance of at least 1 - ``error`` the rules reject at most ``risk`` of the good documents
+of every stratum, as far as labelled documents are independent draws of it. With ``risk`` 0.02 and ``error`` 0.05
+a single stratum needs 149 good documents in the holdout, none of them rejected, and each of four strata 217.
+
+A value is compared by its class: its thousandths, of which the highest seven bits count.
+There are under 4,000 classes, so the counts that cutoffs are read from are a small table
+whatever the input, and hold integers only.
 
 Defined results: a missing text has no words and fails the base rules. A missing
-stratum is a stratum of its own. A document that is labelled more than once is good
+stratum is a stratum of its own, apart from an empty one. A document that is labelled more than once is good
 if any of its labels says so. Repeated rows get equal results.
 """
 
@@ -22,7 +35,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulframe.llm.numtext import Words, chunks, parts
@@ -36,30 +49,38 @@ MIN_WORDS = 10
 
 @dataclass(frozen=True)
 class Rule:
-    """Rejects where ``part / whole`` is above (or, if ``below``, under) a cutoff.
-
-    ``cutoffs`` go from the mildest to the strictest.
-    """
+    """Rejects large (or, if ``below``, small) values of ``part / whole``."""
 
     name: str
     part: str
     whole: str
-    cutoffs: tuple[float, ...]
     below: bool = False
 
-    def rejects(self, cutoff: Column | float) -> Column:
-        value = F.col(self.part) / F.greatest(F.col(self.whole), F.lit(1))
-        return value < cutoff if self.below else value > cutoff
+    def badness(self) -> Column:
+        """Class of the value, larger where it is worse."""
+        x = f"((1000 * {self.part}) div greatest({self.whole}, 1))"
+        dropped = f"greatest(length(bin({x})) - {CLASS_BITS}, 0)"
+        class_ = F.expr(f"cast({2 ** (CLASS_BITS - 1)} * {dropped} + shiftright({x}, {dropped}) as bigint)")
+        return -class_ if self.below else class_
+
 
+#: Highest bits of a value that its class keeps.
+CLASS_BITS = 7
 
 RULES = (
-    Rule("symbols", "n_symbols", "n_words", (2.0, 1.5, 1.0, 0.75, 0.5, 0.35, 0.25, 0.15, 0.1, 0.05)),
-    Rule("duplicate_lines", "n_dup_lines", "n_lines", (0.9, 0.75, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1)),
-    Rule("repeated_words", "n_repeat_words", "n_words", (0.19, 0.16, 0.13, 0.1, 0.07, 0.05, 0.03, 0.02)),
-    Rule("long_words", "word_chars", "n_words", (40.0, 30.0, 20.0, 16.0, 13.0, 11.0, 9.0)),
-    Rule("short_words", "word_chars", "n_words", (1.2, 1.5, 1.8, 2.1, 2.5, 3.0), below=True),
+    Rule("symbols", "n_symbols", "n_words"),
+    Rule("duplicate_lines", "n_dup_lines", "n_lines"),
+    Rule("repeated_words", "n_repeat_words", "n_words"),
+    Rule("long_words", "word_chars", "n_words"),
+    Rule("short_words", "word_chars", "n_words", below=True),
 )
 
+#: The path. First steps lie this many classes beyond the worst good document, ...
+MARGINS = (64, 32, 16, 8, 0)
+#: ... later ones let every rule reject this share of ``risk`` of the good documents that shape the path.
+PARTS_OF_RISK = (0.0625, 0.125, 0.25, 0.5, 1.0)
+STEPS = len(MARGINS) + len(PARTS_OF_RISK)
+
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 
@@ -108,40 +129,95 @@ def chance_of_at_most(k: int, n: int, p: float) -> float:
     return float(min(1.0, math.exp(top) * np.exp(logs - top).sum()))
 
 
-def fit_cutoffs(measured: DataFrame, labels: DataFrame, rules: Sequence[Rule] = RULES, risk: float = 0.02, error: float = 0.05,
-                doc_id: str = "doc_id", stratum: str = "stratum", quality: str = "quality") -> DataFrame:
-    """One row per stratum: ``stratum``, and a cutoff per rule (NULL: the rule is not used).
+def labelled_classes(measured: DataFrame, labels: DataFrame, rules: Sequence[Rule], doc_id: str, stratum: str, quality: str) -> DataFrame:
+    """Labelled documents that pass the base rules: stratum, good, holdout, and a class per rule."""
+    marks = labels.groupBy(F.col(doc_id).alias("_doc")).agg((F.max(quality) == 1).alias("good")).where("good is not null")
+    return measured.where(~base_failed()).join(marks, F.col(doc_id) == F.col("_doc")).select(
+        F.col(stratum).alias("stratum"), "good",
+        (F.substring(F.md5(F.col(doc_id).cast("string").cast("binary")), 1, 1) >= "4").alias("holdout"),
+        *(r.badness().alias(r.name) for r in rules),
+    )
+
 
-    Counts are taken in Spark over all labelled documents; one row per stratum remains.
+def rule_paths(fitting: DataFrame, rules: Sequence[Rule], risk: float) -> DataFrame:
+    """Per stratum with good documents: ``stratum`` and, per rule, its cutoffs by step (NULL: the rule is not used).
+
+    A rule is used if its strictest cutoff rejects a larger share of the bad documents than of the good ones.
+    """
+    each = F.explode(F.array(*(F.struct(F.lit(r.name).alias("rule"), F.col(r.name).alias("class")) for r in rules)))
+    counts = fitting.select("stratum", "good", each.alias("v")).groupBy("stratum", "v.rule", "v.class").agg(
+        F.count_if("good").alias("n_good"), F.count_if(~F.col("good")).alias("n_bad")
+    )
+    # one row per class, which are few: the window is bounded whatever the input
+    of_rule = Window.partitionBy("stratum", "rule")
+    worse = of_rule.orderBy(F.desc("class")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumns({
+        "above": F.coalesce(F.sum("n_good").over(worse), F.lit(0)), "bad_above": F.coalesce(F.sum("n_bad").over(worse), F.lit(0)),
+        "all_good": F.sum("n_good").over(of_rule), "all_bad": F.sum("n_bad").over(of_rule),
+    })
+    held = F.col("n_good") > 0
+    allowed = lambda part: held & (F.col("above") <= F.lit(part * risk) * F.col("all_good"))
+    strictest = allowed(PARTS_OF_RISK[-1])
+    cuts = counts.groupBy("stratum", "rule").agg(
+        F.array(
+            *(F.max(F.when(held, F.col("class"))) + m for m in MARGINS),
+            *(F.min(F.when(allowed(part), F.col("class"))) for part in PARTS_OF_RISK),
+        ).alias("cuts"),
+        F.min_by(F.struct("above", "bad_above", "all_good", "all_bad"), F.when(strictest, F.col("class"))).alias("at"),
+    ).where("at.bad_above * at.all_good > at.above * at.all_bad")
+    return cuts.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r.name, F.col("cuts"))).alias(f"{r.name}_cuts") for r in rules))
+
+
+def first_rejecting_step(rules: Sequence[Rule]) -> Column:
+    """Index of the mildest step that rejects a row of classes and cutoffs; ``STEPS`` if none does."""
+
+    def spared(r: Rule) -> Column:
+        steps = F.size(F.filter(f"{r.name}_cuts", lambda cut: cut >= F.col(r.name)))
+        return F.when(F.col(f"{r.name}_cuts").isNull(), F.lit(STEPS)).otherwise(steps)
+
+    return F.least(*map(spared, rules))
+
+
+def _same_stratum(name: str) -> Column:
+    return F.col("stratum").eqNullSafe(F.col(name))
+
+
+def fit_paths(measured: DataFrame, labels: DataFrame, rules: Sequence[Rule] = RULES, risk: float = 0.02, error: float = 0.05,
+              doc_id: str = "doc_id", stratum: str = "stratum", quality: str = "quality") -> DataFrame:
+    """One row per stratum where rules apply: ``_stratum``, the cutoffs of ``rule_paths``, and
+    ``taken``, the number of steps that the holdout allows.
+
+    Counts are taken in Spark over all labelled documents.
     """
-    good = labels.groupBy(F.col(doc_id).alias("_doc")).agg(F.max(quality).alias("_q")).where(F.col("_q") == 1)
-    held = measured.where(~base_failed()).join(good, F.col(doc_id) == F.col("_doc"), "left_semi")
-    counts = [F.count(F.lit(1)).alias("n")] + [
-        F.count_if(r.rejects(c)).alias(f"{r.name}_{i}") for r in rules for i, c in enumerate(r.cutoffs)
-    ]
-    per_stratum = held.groupBy(stratum).agg(*counts)
-    n_strata = held.select(F.count_distinct(F.coalesce(F.col(stratum).cast("string"), F.lit("")))).first()[0]
-    level = error / max(1, n_strata * sum(len(r.cutoffs) for r in rules))
-    share = risk / len(rules)
+    seen = stored(labelled_classes(measured, labels, rules, doc_id, stratum, quality), "labelled-classes")
+    paths = stored(rule_paths(seen.where(~F.col("holdout")), rules, risk), "rule-paths").withColumnRenamed("stratum", "_stratum")
+    steps = seen.join(paths, _same_stratum("_stratum"), "left").withColumn("_step", first_rejecting_step(rules))
+    count = lambda which: F.count_if(which & F.col("good"))
+    shapes, bad = ~F.col("holdout"), ~F.col("holdout") & ~F.col("good")
+    by_step = lambda which: F.array(*(F.count_if(which & (F.col("_step") <= j)) for j in range(STEPS)))
+    tests = stored(
+        steps.groupBy("stratum").agg(
+            count(F.col("holdout")).alias("n"), by_step(F.col("holdout") & F.col("good")).alias("rejected"),
+            count(shapes).alias("shape_good"), by_step(shapes & F.col("good")).alias("shape_rejected"),
+            F.count_if(bad).alias("shape_bad"), by_step(bad).alias("shape_caught"),
+        ).where(F.col("n") * F.lit(math.log1p(-risk)) <= F.lit(math.log(error))),
+        "holdout-counts",
+    )
+    level = error / max(1, tests.count())
     kind = measured.schema[stratum].dataType.simpleString()
 
-    def choose(frames):
+    def walk(frames):
         for pdf in frames:
-            out = {stratum: pdf[stratum]}
-            for r in rules:
-                # the strictest cutoff up to which every milder one passes
-                chosen = []
-                for _, row in pdf.iterrows():
-                    cutoff = None
-                    for i, c in enumerate(r.cutoffs):
-                        if chance_of_at_most(int(row[f"{r.name}_{i}"]), int(row["n"]), share) > level:
-                            break
-                        cutoff = c
-                    chosen.append(cutoff)
-                out[r.name] = pd.Series(chosen, dtype="float64", index=pdf.index)
-            yield pd.DataFrame(out)
-
-    return per_stratum.mapInPandas(choose, f"`{stratum}` {kind}, " + ", ".join(f"{r.name} double" for r in rules))
+            taken = []
+            for row in pdf.itertuples():
+                fine = [chance_of_at_most(int(k), row.n, risk) <= level for k in row.rejected]
+                gains = [int(c) * row.shape_good - int(g) * row.shape_bad for c, g in zip(row.shape_caught, row.shape_rejected)]
+                end = gains.index(max(gains)) + 1 if max(gains) > 0 else 0
+                taken.append(min((fine + [False]).index(False), end))
+            yield pd.DataFrame({"stratum": pdf["stratum"], "taken": pd.Series(taken, dtype="int32", index=pdf.index)})
+
+    walked = tests.mapInPandas(walk, f"stratum {kind}, taken int").where("taken > 0")
+    return paths.join(walked, _same_stratum("_stratum")).drop("stratum")
 
 
 def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang",
@@ -149,13 +225,10 @@ def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """Per row: doc_id, the measures, ``base_failed``, ``kept``."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(stratum).alias("stratum"), F.col(text).alias("text"))
     measured = stored(measures(rows, "text", ("doc_id", "stratum")), "measures")
-    labelled = labels.select(F.col("doc_id"), F.col("quality"))
     # one row per stratum, stored: its size is known when the join is planned
-    cutoffs = stored(fit_cutoffs(measured, labelled, rules, risk, error), "cutoffs").withColumnRenamed("stratum", "_stratum")
-    judged = measured.join(cutoffs, F.col("stratum").eqNullSafe(F.col("_stratum")), "left")
-    rejected = F.lit(False)
-    for r in rules:
-        rejected = rejected | F.coalesce(r.rejects(F.col(r.name)), F.lit(False))
+    paths = stored(fit_paths(measured, labels.select("doc_id", "quality"), rules, risk, error), "paths")
+    judged = measured.withColumns({r.name: r.badness() for r in rules}).join(paths, _same_stratum("_stratum"), "left")
+    rejected = F.coalesce(first_rejecting_step(rules) < F.col("taken"), F.lit(False))
     return judged.select(
         "doc_id", *MEASURES, base_failed().alias("base_failed"), (~base_failed() & ~rejected).alias("kept")
     )
