@@ -8,6 +8,10 @@ The curve has ``2 ** (bits * columns)`` cells at most, which bounds the tables
 of cell counts whatever the input size. A cell may hold most of the rows: places
 inside it are given by input partition first, then by row.
 
+Numbers are cut into about equally full classes. Values of a string column keep a class each while
+there are no more values than classes; beyond that they share classes in their order, cut by
+how many rows lie before a value. Whole values count, whatever beginning they share.
+
 Defined results: a missing value is its own smallest class; a missing text has
 no bytes. Repeated rows are separate rows. An empty table gives no rows.
 """
@@ -21,15 +25,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from haulframe.llm.storage import stored
+from haulframe.operators.numbering import in_order
+
+
+#: Values whose rows are summed up by one task, in powers of two.
+_BLOCK = 16
 
 
-def sort_number(df: DataFrame, name: str) -> Column:
-    """A number that orders like the column: strings by their first six bytes."""
-    kind = df.schema[name].dataType
-    if isinstance(kind, T.StringType):
-        head = F.substring(F.col(name).cast("binary"), 1, 6)
-        return F.conv(F.rpad(F.hex(head), 12, "0"), 16, 10).cast("double")
-    return F.col(name).cast("double")
+def text_classes(df: DataFrame, name: str, classes: int) -> DataFrame:
+    """Values of a string column with their class: ``_value``, ``_class`` (1 to ``classes``, in the order of values)."""
+    counts = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+    ordered = in_order(counts, ["_value"], "_rank").withColumn("_block", F.shiftright("_rank", _BLOCK))
+    n_values, n_rows = ordered.agg(F.count(F.lit(1)), F.sum("_n")).first()
+    if n_values <= classes:
+        return ordered.select("_value", (F.col("_rank") + 1).cast("int").alias("_class"))
+    # one row per 65,536 values
+    earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ordered.groupBy("_block").agg(F.sum("_n").alias("_sum")).select(
+        "_block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start")
+    )
+    here = Window.partitionBy("_block").orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("_start") + F.col("_in_block")
+    ordered = ordered.withColumn("_in_block", F.coalesce(F.sum("_n").over(here), F.lit(0))).join(starts, "_block")
+    return ordered.select("_value", (F.floor(before * classes / n_rows) + 1).cast("int").alias("_class"))
 
 
 def class_bounds(df: DataFrame, names: Sequence[str], classes: int) -> list[list[float]]:
@@ -100,18 +118,21 @@ def along_curve(df: DataFrame, dims: Sequence[str], bits: int = 5, keep: Sequenc
     The narrow rows are stored once, so that their row ids and the places built on
     them cannot change between evaluations.
     """
-    numbers = [f"_d{i}" for i in range(len(dims))]
     axes = [f"_a{i}" for i in range(len(dims))]
+    classes = 2**bits - 1
+    texts = {a: d for a, d in zip(axes, dims) if isinstance(df.schema[d].dataType, T.StringType)}
+    numbers = {a: d for a, d in zip(axes, dims) if a not in texts}
     keep = list(keep)
-    rows = stored(
-        df.select(*keep, *(sort_number(df, d).alias(n) for d, n in zip(dims, numbers)))
-        .withColumn("_uid", F.monotonically_increasing_id()),
-        "curve",
-    )
-    bounds = class_bounds(rows, numbers, 2**bits - 1)
-    rows = rows.withColumns({a: class_of(F.col(n), b) for a, n, b in zip(axes, numbers, bounds)}).withColumn(
-        "_part", F.call_function("shiftright", F.col("_uid"), F.lit(33))
-    )
+    rows = df.select(*keep, *(F.col(d).alias(a) for a, d in texts.items()), *(F.col(d).cast("double").alias(a) for a, d in numbers.items()))
+    for a, d in texts.items():
+        # stored in value order: Spark knows the size of the table when it plans the join
+        values = text_classes(df, d, classes)
+        rows = rows.join(values, F.col(a) == F.col("_value"), "left").withColumn(a, F.coalesce("_class", F.lit(0))).drop("_value", "_class")
+    rows = stored(rows.withColumn("_uid", F.monotonically_increasing_id()), "curve")
+    if numbers:
+        bounds = class_bounds(rows, list(numbers), classes)
+        rows = rows.withColumns({a: class_of(F.col(a), b) for a, b in zip(numbers, bounds)})
+    rows = rows.withColumn("_part", F.call_function("shiftright", F.col("_uid"), F.lit(33)))
     per_part = rows.groupBy(*axes, "_part").agg(F.count(F.lit(1)).alias("_n"))
     # at most 2 ** (bits * dims) cells: a bounded table, ranked in one task
     cells = rows.groupBy(*axes).agg(F.count(F.lit(1)).alias("_n"))

@@ -2,6 +2,7 @@ import itertools
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from haulframe.llm import sharding
 
@@ -40,3 +41,25 @@ def test_fewer_rows_than_shards(spark):
     docs = spark.createDataFrame([(1, "a", "en", "s", 1), (1, "a", "en", "s", 1)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     rows = sharding.hilbert_shards(docs).collect()
     assert len(rows) == 2 and len({r["shard"] for r in rows}) == 2 and {r["slot"] for r in rows} == {0}
+
+
+@pytest.mark.parametrize("names", ["src{:02d}", "common_crawl_{:02d}", "https://example.org/{:02d}"])
+def test_sources_that_begin_alike_stay_apart(spark, names):
+    sources = [names.format(i) for i in range(16)]
+    docs = spark.createDataFrame([(i, "x", "en", sources[i % 16], 5) for i in range(1600)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    rows = sharding.hilbert_shards(docs, shards=16).join(docs, "doc_id").groupBy("shard").agg(F.count_distinct("source").alias("n")).collect()
+    assert [r["n"] for r in rows] == [1] * 16
+
+
+@pytest.mark.parametrize("hot", [1, 5000])
+def test_many_values_share_classes_in_their_order(spark, hot, monkeypatch):
+    """Several blocks of values, one of them with most rows."""
+    monkeypatch.setattr(sharding, "_BLOCK", 4)
+    values = [f"common prefix {i:03d}" for i in range(100)]
+    rows = [(v,) for i, v in enumerate(values) for _ in range(hot if i == 40 else 3)] + [(None,)] * 4
+    got = {r["_value"]: r["_class"] for r in sharding.text_classes(spark.createDataFrame(rows, "v string"), "v", 31).collect()}
+    n, before = len(rows) - 4, 0
+    for i, v in enumerate(values):
+        assert got[v] == 1 + before * 31 // n
+        before += hot if i == 40 else 3
+    assert len(got) == 100
