@@ -6,9 +6,10 @@ A log row is an event of one conversation: ``message`` states a message,
 may state again. Sorted by sequence number, the events fold into the final
 messages. Only DataFrame functions are used.
 
-No conversation is sorted as a whole: an event is alive if no later withdrawal
-in its conversation reaches its message, and a text is the deltas since the last
-statement or edit of its message. Only the finished, rendered conversation, which
+An event is alive if it is later than every withdrawal that reaches its message, and a
+text is the deltas since the last statement or edit of its message. Events meet per
+message first, in parallel inside a conversation; one pass over the messages of a conversation in
+their order then carries the latest withdrawal along, in constant memory. Only the finished, rendered conversation, which
 is one string, meets in one row.
 
 Defined results: a missing text is empty, a missing role is written as an empty
@@ -48,22 +49,16 @@ def fold_events(events: DataFrame) -> DataFrame:
     ``regenerate`` at ``seq`` withdraws everything before it that belongs to its
     message or to later ones.
     """
-    alive = events.where(F.col("kind") != "regenerate")
-    withdrawn = events.where(F.col("kind") == "regenerate").groupBy("conv_id", "message").agg(F.max("seq").alias("seq"))
-    # few rows: one per withdrawn message
-    cuts = withdrawn.groupBy(F.col("conv_id").alias("_conv")).agg(F.collect_list(F.struct("message", "seq")).alias("_cuts"))
-    cut = F.array_max(F.transform(
-        F.filter("_cuts", lambda c: c["message"] <= F.col("message")), lambda c: c["seq"]
-    ))
-    alive = (
-        alive.join(cuts, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
-        .where(F.coalesce(F.col("seq") > cut, F.lit(True)))
-        .drop("_conv", "_cuts")
-    )
+    withdrawal = F.col("kind") == "regenerate"
     states = F.col("kind") != "delta"
     event = F.struct("seq", states.alias("states"), F.coalesce("text", F.lit("")).alias("text"), "role")
-    parts = F.array_sort(F.collect_list(event))
-    folded = alive.groupBy("conv_id", "message").agg(parts.alias("_events"))
+    per_message = events.groupBy("conv_id", "message").agg(
+        F.array_sort(F.collect_list(F.when(~withdrawal, event))).alias("_events"), F.max(F.when(withdrawal, F.col("seq"))).alias("_withdrawn")
+    )
+    so_far = Window.partitionBy("conv_id").orderBy("message").rowsBetween(Window.unboundedPreceding, 0)
+    cut = per_message.withColumn("_cut", F.max("_withdrawn").over(so_far))
+    alive = F.filter("_events", lambda e: F.col("_cut").isNull() | (e["seq"] > F.col("_cut")))
+    folded = cut.withColumn("_events", alive).where(F.size("_events") > 0)
     last = F.array_max(F.transform(F.filter("_events", lambda e: e["states"]), lambda e: e["seq"]))
     folded = folded.withColumn("_last", last).withColumn(
         "_parts",
@@ -133,11 +128,48 @@ def log_of(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
 
     Rows with the same turn are messages of their own, ordered by role and text.
     """
+    return _placed(rows, conv_id, turn, role, text).select(
+        "conv_id", F.struct("turn", "tie").alias("seq"), F.lit("message").alias("kind"),
+        F.struct("turn", "tie").alias("message"), "role", "text",
+    )
+
+
+def streamed_log(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
+                 delta_chars: int = 200) -> DataFrame:
+    """An event log whose fold gives the stored turns back, told the way a client would have written it.
+
+    Each row's message is stated and streamed wrongly (its text backwards), answered, and
+    withdrawn together with the answer by a regeneration. Then it is stated again, still wrong, edited to its first
+    ``delta_chars`` characters, and the rest arrives as deltas by position.
+    """
+    said = F.coalesce("text", F.lit(""))
+    late = F.sequence(F.lit(2), F.greatest(F.ceil(F.char_length(said) / delta_chars), F.lit(2)).cast("int"))
+
+    def event(step, kind: str, words: Column, answer: int = 0, by: Column | None = None) -> Column:
+        return F.struct(
+            F.lit(step).cast("int").alias("step"), F.lit(answer).alias("answer"), F.lit(kind).alias("kind"),
+            (F.lit(None).cast("string") if by is None else by).alias("role"), words.alias("text"),
+        )
+
+    def part(k: Column) -> Column:
+        return F.substr(said, (k - 1) * delta_chars + 1, F.lit(delta_chars))
+
+    wrong, none = F.reverse(said), F.lit(None).cast("string")
+    first = F.array(
+        event(0, "message", none, by=F.col("role")), event(1, "delta", wrong),
+        event(2, "message", said, answer=1, by=F.col("role")), event(3, "regenerate", none),
+        event(4, "message", wrong, by=F.col("role")), event(5, "edit", part(F.lit(1))),
+    )
+    events = F.concat(first, F.transform(late, lambda k: event(k + 4, "delta", part(k))))
+    return _placed(rows, conv_id, turn, role, text).select("conv_id", "turn", "tie", F.explode(events).alias("e")).select(
+        "conv_id", F.struct("turn", "tie", "e.step").alias("seq"), "e.kind", F.struct("turn", "tie", "e.answer").alias("message"), "e.role", "e.text",
+    )
+
+
+def _placed(rows: DataFrame, conv_id: str, turn: str, role: str, text: str) -> DataFrame:
+    """Stored turns with their place among rows of the same turn, ``tie``."""
     plain = rows.select(
         F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")
     )
     among = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
-    return plain.withColumn("tie", F.row_number().over(among)).select(
-        "conv_id", F.struct("turn", "tie").alias("seq"), F.lit("message").alias("kind"),
-        F.struct("turn", "tie").alias("message"), "role", "text",
-    )
+    return plain.withColumn("tie", F.row_number().over(among))

@@ -69,13 +69,14 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations and one whose texts look like the template itself."""
+    """All conversations, and one whose texts look like the template itself, folded from logs of streamed, edited and
+    regenerated messages."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
     more = spark.createDataFrame(
         [(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string"
     )
-    log = chat.log_of(rows.unionByName(more))
+    log = chat.streamed_log(rows.unionByName(more))
     return chat.digests(chat.read_back(chat.render(chat.fold_events(log))))
 
 
