@@ -19,6 +19,8 @@ place are ordered by kind and text. A log without surviving messages gives no ro
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,34 +43,46 @@ def unescape(c: Column) -> Column:
     return c
 
 
-def fold_events(events: DataFrame) -> DataFrame:
+def fold_events(events: DataFrame, message: Sequence[str] = ("message",)) -> DataFrame:
     """Final messages (conv_id, message, role, text) of an event log.
 
-    Columns of the log: conv_id, seq (place in the log), kind, message (any
-    sortable place of the message in its conversation), role, text. A
+    Columns of the log: conv_id, seq (place in the log), kind, role, text, and those named by ``message``, which are
+    together any sortable place of the message in its conversation (several give a struct). A
     ``regenerate`` at ``seq`` withdraws everything before it that belongs to its
     message or to later ones.
+
+    Each message is reduced by its own events before the conversation is looked at: what its own withdrawal
+    or last statement makes void does not travel on. A log that is already dealt by the
+    conversation, or by it and some columns of ``message``, is not shuffled for that step.
     """
     withdrawal = F.col("kind") == "regenerate"
     states = F.col("kind") != "delta"
     event = F.struct("seq", states.alias("states"), F.coalesce("text", F.lit("")).alias("text"), "role")
-    per_message = events.groupBy("conv_id", "message").agg(
+    folded = events.groupBy("conv_id", *message).agg(
         F.array_sort(F.collect_list(F.when(~withdrawal, event))).alias("_events"), F.max(F.when(withdrawal, F.col("seq"))).alias("_withdrawn")
     )
-    so_far = Window.partitionBy("conv_id").orderBy("message").rowsBetween(Window.unboundedPreceding, 0)
-    cut = per_message.withColumn("_cut", F.max("_withdrawn").over(so_far))
-    alive = F.filter("_events", lambda e: F.col("_cut").isNull() | (e["seq"] > F.col("_cut")))
-    folded = cut.withColumn("_events", alive).where(F.size("_events") > 0)
-    last = F.array_max(F.transform(F.filter("_events", lambda e: e["states"]), lambda e: e["seq"]))
-    folded = folded.withColumn("_last", last).withColumn(
-        "_parts",
-        F.filter("_events", lambda e: F.col("_last").isNull() | (e["seq"] > F.col("_last")) | ((e["seq"] == F.col("_last")) & e["states"])),
-    )
-    roles = F.filter(F.transform("_events", lambda e: e["role"]), lambda r: r.isNotNull())
+
+    def after(cut: str):
+        return lambda e: F.col(cut).isNull() | (e["seq"] > F.col(cut))
+
+    folded = folded.withColumn("_events", F.filter("_events", after("_withdrawn")))
+    roles = F.filter("_events", lambda e: e["role"].isNotNull())
+    folded = folded.withColumns({
+        "_last": F.array_max(F.transform(F.filter("_events", lambda e: e["states"]), lambda e: e["seq"])),
+        "_role": F.get(F.transform(roles, lambda e: F.struct(e["seq"].alias("seq"), e["role"].alias("role"))), F.size(roles) - 1),
+    })
+    since = F.filter("_events", lambda e: F.col("_last").isNull() | (e["seq"] > F.col("_last")) | ((e["seq"] == F.col("_last")) & e["states"]))
+    parts = F.transform(since, lambda e: F.struct(e["seq"].alias("seq"), e["states"].alias("states"), e["text"].alias("text")))
+    folded = folded.select("conv_id", *message, "_withdrawn", "_role", parts.alias("_parts"))
+
+    so_far = Window.partitionBy("conv_id").orderBy(*message).rowsBetween(Window.unboundedPreceding, 0)
+    folded = folded.withColumn("_cut", F.max("_withdrawn").over(so_far))
+    folded = folded.withColumn("_parts", F.filter("_parts", after("_cut"))).where(F.size("_parts") > 0)
     # two statements with the same place: the last one holds
     held = F.filter("_parts", lambda e: e["states"])
     return folded.select(
-        "conv_id", "message", F.get(roles, F.size(roles) - 1).alias("role"),
+        "conv_id", F.struct(*message).alias("message") if len(message) > 1 else F.col(message[0]).alias("message"),
+        F.when(after("_cut")(F.col("_role")), F.col("_role.role")).alias("role"),
         F.concat(
             F.coalesce(F.get(held, F.size(held) - 1)["text"], F.lit("")),
             F.array_join(F.transform(F.filter("_parts", lambda e: ~e["states"]), lambda e: e["text"]), ""),
@@ -134,13 +148,17 @@ def log_of(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
     )
 
 
+#: Columns that place a message of ``streamed_log``.
+STREAMED = ("turn", "tie", "answer")
+
+
 def streamed_log(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
                  delta_chars: int = 200) -> DataFrame:
     """An event log whose fold gives the stored turns back, told the way a client would have written it.
 
-    Each row's message is stated and streamed wrongly (its text backwards), answered, and
-    withdrawn together with the answer by a regeneration. Then it is stated again, still wrong, edited to its first
-    ``delta_chars`` characters, and the rest arrives as deltas by position.
+    Each row's message is started, a wrong draft streams in (some characters, backwards), an answer follows, and
+    both are withdrawn by a regeneration. Then the draft is stated again, edited to the first
+    ``delta_chars`` characters of the text, and the rest arrives as deltas by position. The place of a message is (turn, tie, answer).
     """
     said = F.coalesce("text", F.lit(""))
     late = F.sequence(F.lit(2), F.greatest(F.ceil(F.char_length(said) / delta_chars), F.lit(2)).cast("int"))
@@ -154,15 +172,15 @@ def streamed_log(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     def part(k: Column) -> Column:
         return F.substr(said, (k - 1) * delta_chars + 1, F.lit(delta_chars))
 
-    wrong, none = F.reverse(said), F.lit(None).cast("string")
+    wrong, none = F.reverse(F.substr(said, F.lit(1), F.lit(20))), F.lit(None).cast("string")
     first = F.array(
         event(0, "message", none, by=F.col("role")), event(1, "delta", wrong),
-        event(2, "message", said, answer=1, by=F.col("role")), event(3, "regenerate", none),
+        event(2, "message", wrong, answer=1, by=F.col("role")), event(3, "regenerate", none),
         event(4, "message", wrong, by=F.col("role")), event(5, "edit", part(F.lit(1))),
     )
     events = F.concat(first, F.transform(late, lambda k: event(k + 4, "delta", part(k))))
     return _placed(rows, conv_id, turn, role, text).select("conv_id", "turn", "tie", F.explode(events).alias("e")).select(
-        "conv_id", F.struct("turn", "tie", "e.step").alias("seq"), "e.kind", F.struct("turn", "tie", "e.answer").alias("message"), "e.role", "e.text",
+        "conv_id", F.struct("turn", "tie", "e.step").alias("seq"), "e.kind", "turn", "tie", "e.answer", "e.role", "e.text",
     )
 
 

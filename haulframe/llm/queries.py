@@ -77,7 +77,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         [(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string"
     )
     log = chat.streamed_log(rows.unionByName(more))
-    return chat.digests(chat.read_back(chat.render(chat.fold_events(log))))
+    return chat.digests(chat.read_back(chat.render(chat.fold_events(log, chat.STREAMED))))
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

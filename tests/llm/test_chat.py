@@ -40,16 +40,19 @@ ROWS = [
 ]
 
 
-@pytest.mark.parametrize("log", [chat.log_of, chat.streamed_log, lambda rows: chat.streamed_log(rows, delta_chars=3)])
-def test_round_trip_and_digests(spark, log):
+@pytest.mark.parametrize("folded", [
+    lambda rows: chat.fold_events(chat.log_of(rows)), lambda rows: chat.fold_events(chat.streamed_log(rows), chat.STREAMED),
+    lambda rows: chat.fold_events(chat.streamed_log(rows, delta_chars=3), chat.STREAMED),
+])
+def test_round_trip_and_digests(spark, folded):
     rows = spark.createDataFrame([(*r, "x") for r in ROWS], "conv_id bigint, turn bigint, role string, text string, formatted string")
-    out = chat.read_back(chat.render(chat.fold_events(log(rows)))).collect()
+    out = chat.read_back(chat.render(folded(rows))).collect()
     want = {}
     order = sorted(ROWS, key=lambda r: (r[1] is not None, r[1] or 0, r[2] is not None, r[2] or "", r[3] or ""))
     for conv, _, role, text in order:
         want.setdefault(conv, []).append((role or "", text or "", role == "assistant"))
     assert {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in out} == want
-    digests = {r["conv_id"]: r for r in chat.digests(chat.read_back(chat.render(chat.fold_events(log(rows))))).collect()}
+    digests = {r["conv_id"]: r for r in chat.digests(chat.read_back(chat.render(folded(rows)))).collect()}
     for conv, turns in want.items():
         loss = "".join(t for _, t, masked in turns if masked)
         assert digests[conv]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest() and digests[conv]["loss_chars"] == len(loss)
@@ -60,10 +63,10 @@ def test_streamed_log_is_wrong_without_its_regenerations_edits_or_deltas(spark):
     """Every kind of event decides the result."""
     rows = spark.createDataFrame([(1, 0, "user", "abcdefgh"), (1, 1, "assistant", "ijklmnop")], "conv_id bigint, turn bigint, role string, text string")
     log = chat.streamed_log(rows, delta_chars=3)
-    texts = lambda events: [r["text"] for r in chat.fold_events(events).orderBy("message").collect()]
+    texts = lambda events: [r["text"] for r in chat.fold_events(events, chat.STREAMED).orderBy("message").collect()]
     assert texts(log) == ["abcdefgh", "ijklmnop"]
     assert {r["kind"] for r in log.collect()} == {"message", "delta", "edit", "regenerate"}
-    assert texts(log.where("kind != 'regenerate'")) == ["abcdefgh", "abcdefgh", "ijklmnop", "ijklmnop"]
+    assert texts(log.where("kind != 'regenerate'")) == ["abcdefgh", "hgfedcba", "ijklmnop", "ponmlkji"]
     assert texts(log.where("kind != 'edit'")) == ["hgfedcbadefgh", "ponmlkjilmnop"]
     assert texts(log.where("kind != 'delta'")) == ["abc", "ijk"]
 
@@ -76,3 +79,10 @@ def test_control_strings_only_from_the_template(spark):
 
 def test_empty_log(spark):
     assert chat.render(chat.fold_events(spark.createDataFrame([], LOG))).collect() == []
+
+
+def test_messages_are_folded_where_their_turns_were_placed(spark):
+    """One exchange places the rows of a turn, one brings the messages of a conversation together."""
+    rows = spark.createDataFrame(ROWS, "conv_id bigint, turn bigint, role string, text string")
+    plan = chat.render(chat.fold_events(chat.streamed_log(rows), chat.STREAMED))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
