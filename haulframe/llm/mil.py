@@ -5,8 +5,8 @@ repetition, encoded by one layer, and weighted by gated attention; the weighted
 the encoded passages gives the score. Encoder, attention and score are learnt
 together from labels of whole documents.
 
-The model is fitted on a sample of at most ``sample`` labelled documents per label,
-``fit_passages`` passages each, drawn by hash. Scores use every passage of every text,
+The model is fitted on a sample of labelled documents drawn by hash, whole texts each: at most ``sample`` documents
+and ``sample_passages`` passages per label. Scores use every passage of every text,
 and nothing but the text.
 
 Defined results: a missing or empty text is one passage without words. Without
@@ -20,13 +20,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulframe.llm.numtext import Words, chunks, mix, parts
+from haulframe.llm.storage import stored
 
 PASSAGE_WORDS = 64
-HASHED = 16  # classes of hashed word lengths and endings
 PUNCTUATION = list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 N_FEATURES = len(PUNCTUATION) + 12
 
@@ -167,10 +167,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality",
-                sample: int = 2000, fit_passages: int = 32) -> Model | None:
+                sample: int = 2000, sample_passages: int = 64_000) -> Model | None:
     """A model from labelled documents outside the held-out third.
 
-    Features of at most ``2 * sample * fit_passages`` passages reach the driver.
+    Per label, documents are taken in the order of a hash of their id: the first ``sample`` of them, as long as their
+    passages, all of them, add up to ``sample_passages`` at most. A document that has more on its own is not in the
+    sample. So features of at most ``2 * sample_passages`` passages reach the driver.
     """
     usable = labels.where(~held_out(doc_id)).where(F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("_doc")).agg(
         F.min(label).alias("_label")).where(F.col("_doc").isNotNull())
@@ -184,15 +186,18 @@ def fit_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
         for batch in parts(batches, "text"):
             x, counts = passages(batch.column("text").to_pylist())
             first = np.cumsum(counts) - counts
-            # evenly spread over the text
-            chosen = [x[a + np.unique(np.linspace(0, n - 1, min(n, fit_passages)).astype(int))] for a, n in zip(first, counts)]
             yield pa.RecordBatch.from_arrays([
-                batch.column("_doc"), batch.column("_label").cast(pa.int32()),
-                pa.array([p.astype("<f4").tobytes() for p in chosen], pa.binary()),
-            ], ["doc", "label", "x"])
+                batch.column("_doc"), batch.column("_label").cast(pa.int32()), pa.array(counts, pa.int64()),
+                pa.array([x[a:a + n].astype("<f4").tobytes() for a, n in zip(first, counts)], pa.binary()),
+            ], ["doc", "label", "n", "x"])
 
     kind = rows.schema["_id"].dataType.simpleString()
-    seen = texts.select("_doc", "_label", "text").mapInArrow(described, f"doc {kind}, label int, x binary").toPandas()
+    seen = texts.select("_doc", "_label", "text").mapInArrow(described, f"doc {kind}, label int, n bigint, x binary")
+    seen = stored(seen.where(F.col("n") <= sample_passages), "described")
+    # at most `sample` rows per label
+    so_far = Window.partitionBy("label").orderBy(F.xxhash64("doc"), "doc").rowsBetween(Window.unboundedPreceding, 0)
+    taken = seen.select("doc", "label", F.sum("n").over(so_far).alias("n_so_far")).where(F.col("n_so_far") <= sample_passages)
+    seen = seen.join(F.broadcast(taken.select(F.col("doc").alias("_taken"))), F.col("doc") == F.col("_taken"), "left_semi").toPandas()
     seen = seen.sort_values("doc", ignore_index=True)
     label_of = seen["label"].to_numpy(dtype=np.float64)
     if len(set(label_of.tolist())) < 2:

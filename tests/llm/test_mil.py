@@ -67,3 +67,22 @@ def test_passages_cover_the_whole_text():
     texts = [b"", b"a " * 64, b"a " * 65, b"x" * 3_000_000, b"\n"]
     x, counts = mil.passages(texts)
     assert counts.tolist() == [1, 1, 2, 1, 1] and len(x) == 6 and np.isfinite(x).all()
+
+
+def test_fitting_reads_whole_texts_within_its_bound(spark, monkeypatch):
+    """What parts the labels lies in one late passage; the bound counts all passages and leaves out whole documents only."""
+    noise = "%% && ## ** << >> || $$ " * 8
+    texts = [" ".join(f"word{i}" for i in range(64 * 60)) + (" " + noise if k % 2 else " plain words stay plain") for k in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = docs.selectExpr("doc_id", "int(1 - doc_id % 2) as quality")
+    seen = []
+    real = mil.fit
+    monkeypatch.setattr(mil, "fit", lambda x, counts, label, **kw: seen.append((counts.copy(), label.copy())) or real(x, counts, label, **kw))
+    model = mil.fit_quality(docs, labels)
+    assert set(seen[0][0].tolist()) == {61}
+    scored = mil.score_documents(docs, model).collect()
+    assert all((r["score"] >= 0.5) == (r["doc_id"] % 2 == 0) for r in scored)
+    mil.fit_quality(docs, labels, sample_passages=61 * 7 + 5)
+    counts, label = seen[1]
+    assert set(counts.tolist()) == {61} and [(label == k).sum() for k in (0, 1)] == [7, 7]
+    assert mil.fit_quality(docs, labels, sample_passages=60) is None
