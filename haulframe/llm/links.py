@@ -10,16 +10,18 @@ connected, which is what components need:
 2. In the others, elements that no other remaining item has bound the similarity of
    a member from above. Members that can reach nobody in a node leave it. The rest is
    compared with the member that has the fewest such elements.
-3. What then remains is compared exhaustively: every pair of a node that is of different
-   components, on the full sets. A large node is dealt into blocks, and every pair of blocks
+3. A node with more than a block of members outside its largest component branches: its members go on to its
+   children by newly drawn numbers, and on from those, as long as that leaves fewer pairs to compare.
+4. What then remains is compared exhaustively: every pair of a node that is of different
+   components, on the full sets. A node that no branching parts is dealt into blocks, and every pair of blocks
    is compared on its own, so that no task holds more than two; its largest component has
    blocks of its own, which do not meet each other. Of the links found there, those
    that join components are returned, fewer than members.
 
-No link between members of a node is lost, and none is needed inside a component. In the
-first two steps texts travel for pairs whose signatures agree well enough; a pair that they pass
-over is compared in the third. There each member travels once for each block that its own
-meets: the work grows with the square of the members that no bound rules out.
+No link between members of a node is lost but by branching, whose chance the trees together keep small (see
+`near_dedup`), and none is needed inside a component. In the first two steps texts travel for pairs whose
+signatures agree well enough; a pair that they pass over is compared in the fourth. There each member travels once for each
+block that its own meets: the work grows with the members, but for nodes that no branching parts.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ from haulframe.llm.storage import bounded, stored
 
 #: Members of a block at most; a pair of blocks is compared in one task.
 BLOCK = 1024
+#: Levels, each with fresh numbers, in which a large node may fail to part before it is compared as it is.
+TRIES = 3
 #: Elements of a block that are compared at once.
 WIDTH = 4096
 
@@ -208,18 +212,61 @@ def dealt(rows: DataFrame) -> DataFrame:
     )
 
 
-def _links_inside(rows: DataFrame, texts: Callable[[DataFrame], DataFrame], sets: Callable, percent: int) -> DataFrame:
-    """Links that connect all similar members of a node that are of different components.
+def _weighed(rows: DataFrame) -> DataFrame:
+    """Per node of members of several components: node, n, others (not of the largest), work (pairs to compare)."""
+    each = rows.groupBy("node", "component").agg(F.count(F.lit(1)).alias("c"))
+    nodes = each.groupBy("node").agg(F.sum("c").alias("n"), (F.sum("c") - F.max("c")).alias("others"))
+    return nodes.where("others > 0").withColumn("work", F.col("others").cast("double") * F.col("n"))
 
-    ``rows``: node, rid, component, n (members of the node).
-    """
+
+def _elements(ids: DataFrame, texts: Callable[[DataFrame], DataFrame], sets: Callable) -> DataFrame:
+    """(rid, elements) of stored ids, stored: their sets as bytes."""
     def described(batches):
         for batch in parts(batches, "text", size=CHUNK):
             found = [s.tobytes() for s in sets(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(found, pa.binary())], ["rid", "elements"])
 
-    ids = stored(rows.select("rid").distinct(), "ids")
-    elements = stored(stored(texts(ids), "texts").select("rid", "text").mapInArrow(described, "rid bigint, elements binary"), "sets")
+    return stored(stored(texts(ids), "texts").select("rid", "text").mapInArrow(described, "rid bigint, elements binary"), "sets")
+
+
+def branched(rows: DataFrame, elements: DataFrame, children: Callable[[DataFrame, DataFrame, int], DataFrame]) -> DataFrame:
+    """``rows`` (node, rid, component, tree), with the descendants of large nodes in place of these, and n (members).
+
+    A node is large while more than ``BLOCK`` of its members are outside its largest component. It gives way to its
+    children where they have fewer pairs to compare in all, and stays where it does not in ``TRIES`` levels. Nodes whose members
+    are all of one component are left out. ``elements`` (rid, elements) has the sets of all members.
+    """
+    names = ["node", "rid", "component", "tree", "n"]
+
+    def parted(some: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members of small nodes, and those of large ones with work."""
+        all_in = some.join(bounded(stored(_weighed(some), "nodes")), "node")
+        return all_in.where(F.col("others") <= BLOCK).select(names), all_in.where(F.col("others") > BLOCK).select(*names, "work", F.lit(0).alias("tries"))
+
+    done, large = parted(rows.drop("n"))
+    large, level = stored(large, "large"), 0
+    while not large.isEmpty():
+        level += 1
+        of_large = elements.join(bounded(stored(large.select("rid").distinct(), "ids")), "rid")
+        below = stored(children(large, of_large, level), "below")
+        weighed = stored(_weighed(below).select("node", F.col("work").alias("rest")), "weighed")
+        parents = below.select(F.col("parent").alias("node"), F.col("node").alias("child")).distinct()
+        left = parents.join(weighed.withColumnRenamed("node", "child"), "child").groupBy("node").agg(F.sum("rest").alias("left"))
+        before = large.groupBy("node").agg(F.max("work").alias("work")).join(left, "node", "left")
+        gives_way = stored(before.where(F.coalesce("left", F.lit(0.0)) < F.col("work")).select("node"), "gives-way")
+        stay = large.join(bounded(gives_way), "node", "left_anti").withColumn("tries", F.col("tries") + 1)
+        parents = gives_way.withColumnRenamed("node", "parent")
+        small, large = parted(below.join(bounded(parents), "parent", "left_semi").drop("parent"))
+        done = done.unionByName(small).unionByName(stay.where(F.col("tries") >= TRIES).select(names))
+        large = stored(large.unionByName(stay.where(F.col("tries") < TRIES)), "large")
+    return stored(done, "branched")
+
+
+def _links_inside(rows: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
+    """Links that connect all similar members of a node that are of different components.
+
+    ``rows``: node, rid, component, n (members of the node); ``elements`` (rid, elements) has their sets.
+    """
     key = ["node", "first", "second"]
 
     def formed(batches):
@@ -250,13 +297,14 @@ def _links_inside(rows: DataFrame, texts: Callable[[DataFrame], DataFrame], sets
 
 def similar_components(
     members: DataFrame, sigs: DataFrame, texts: Callable[[DataFrame], DataFrame],
-    sets: Callable[[list[bytes]], list[np.ndarray]], percent: int, k: int,
+    sets: Callable[[list[bytes]], list[np.ndarray]], percent: int, k: int, children: Callable[[DataFrame, DataFrame, int], DataFrame],
 ) -> DataFrame:
     """(id, component) of all items that have a confirmed link.
 
-    ``members`` (node, rid) says who meets, ``sigs`` (rid, sig) has the signatures of
-    ``k`` numbers, ``texts`` gives (rid, text as bytes) for a stored table of ids, and
-    ``sets`` the sorted sets of a list of texts.
+    ``members`` (node, rid, tree) says who meets, ``sigs`` (rid, sig) has the signatures of
+    ``k`` numbers, ``texts`` gives (rid, text as bytes) for a stored table of ids,
+    ``sets`` the sorted sets of a list of texts, and ``children`` the next level below
+    members (node, rid, component, tree), given their sets (rid, elements) and the number of the level, from 1.
     """
     def components(links: DataFrame) -> DataFrame:
         return stored(connected_components(links), "components").select(F.col("id").alias("rid"), "component")
@@ -279,7 +327,7 @@ def similar_components(
     tried = compared(_pairs(meeting.where(F.col("rid") != F.col("pivot")), "rid", "pivot"))
     links = _confirmed(tried, texts, sets, percent)
     known = components(links)
-    rows = still_open(meeting.select("node", "rid"), known)
+    rows = still_open(meeting.select("node", "rid", "tree"), known)
     if rows.isEmpty():
         return known.select(F.col("rid").alias("id"), "component")
 
@@ -295,7 +343,8 @@ def similar_components(
 
     if rows.isEmpty():
         return known.select(F.col("rid").alias("id"), "component")
-    rest = stored(_links_inside(rows, texts, sets, percent), "links")
+    elements = _elements(stored(rows.select("rid").distinct(), "ids"), texts, sets)
+    rest = stored(_links_inside(branched(rows, elements, children), elements, percent), "links")
     if not rest.isEmpty():
         known = components(links.unionByName(rest))
     return known.select(F.col("rid").alias("id"), "component")
@@ -320,4 +369,5 @@ def links_of_nodes(
     if mixed.isEmpty():
         return links
     rows = stored(classed.join(bounded(mixed), "node").select("node", "rid", "component", "n"), "open")
-    return links.unionByName(stored(_links_inside(rows, texts, sets, percent), "links"))
+    elements = _elements(stored(rows.select("rid").distinct(), "ids"), texts, sets)
+    return links.unionByName(stored(_links_inside(rows, elements, percent), "links"))

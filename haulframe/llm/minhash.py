@@ -8,18 +8,32 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Numbers that a level of a tree has to itself.
+CHOICES = 4
+
 _random = np.random.Generator(np.random.PCG64(31_415))
 _FACTOR = _random.integers(0, 2**32, 256, dtype=np.uint32) | np.uint32(1)
 _OFFSET = _random.integers(0, 2**32, 256, dtype=np.uint32)
 
 
-def signatures(hashes: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
-    """One row of ``k`` numbers per set; ``first`` are the places where the (non-empty) sets begin."""
+def _functions(draw: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    if not draw:
+        return _FACTOR, _OFFSET
+    random = np.random.Generator(np.random.PCG64([31_415, draw]))
+    return random.integers(0, 2**32, k, dtype=np.uint32) | np.uint32(1), random.integers(0, 2**32, k, dtype=np.uint32)
+
+
+def signatures(hashes: np.ndarray, first: np.ndarray, k: int, draw: int = 0) -> np.ndarray:
+    """One row of ``k`` numbers per set; ``first`` are the places where the (non-empty) sets begin.
+
+    Another ``draw`` takes other hash functions.
+    """
+    factor, offset = _functions(draw, k)
     h = (hashes >> np.uint64(32)).astype(np.uint32)
     out = np.empty((len(first), k), dtype="<u2")
     if len(first):
         for i in range(k):
-            low = np.minimum.reduceat(h * _FACTOR[i] + _OFFSET[i], first)
+            low = np.minimum.reduceat(h * factor[i] + offset[i], first)
             out[:, i] = (low * np.uint32(0x9E37_79B1)) >> np.uint32(16)
     return out
 
@@ -32,8 +46,8 @@ def agreement(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return (x == y).mean(axis=1)
 
 
-def least_agreement(similarity: float, k: int, deviations: float = 4.0) -> float:
-    """Agreement that a pair of this similarity falls below with a chance of under 1 in 10,000."""
+def least_agreement(similarity: float, k: int, deviations: float = 5.0) -> float:
+    """Agreement that a pair of this similarity falls below with a chance of under 1 in 300,000 (``k`` of 192)."""
     return similarity - deviations * (similarity * (1 - similarity) / k) ** 0.5
 
 
@@ -53,32 +67,36 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def branch(sig: np.ndarray, row: np.ndarray, node: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """One level of chosen paths: the children of ``node`` that the sets in ``row`` go to.
+def branch(numbers: np.ndarray, row: np.ndarray, node: np.ndarray, tree: np.ndarray, more: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One level of chosen paths: (row, node, tree) of the children that the sets in ``row`` go to.
 
-    A node chooses places of the signature by its own key, on average 1 / similarity
-    of them, so that a pair of this similarity is expected to share one child. Every set
-    goes to the children named by its numbers there.
+    ``numbers`` has ``CHOICES`` minwise numbers of each tree for this level. A node chooses one of them by its
+    own key, and another with the chance ``more``. Every set goes to the children named by its numbers there.
     """
-    k = np.uint64(sig.shape[1])
-    chance = _mix(node + np.uint64(0x51ED_270B))
-    one = _mix(node) % k
-    two = (one + np.uint64(1) + _mix(node + np.uint64(77)) % (k - np.uint64(1))) % k
-    more = chance.astype(np.float64) < (1 / similarity - 1) * 2.0**64
+    choices = np.uint64(CHOICES)
+    one = _mix(node) % choices
+    again = _mix(node + np.uint64(0x51ED_270B)).astype(np.float64) < more * 2.0**64
+    two = (one + np.uint64(1) + _mix(node + np.uint64(77)) % (choices - np.uint64(1)))[again] % choices
 
-    def child(rows, nodes, at):
-        return _mix(nodes ^ _mix((at << np.uint64(32)) + sig[rows, at.astype(np.int64)].astype(np.uint64) + np.uint64(1)))
+    def child(rows, nodes, trees, at):
+        number = numbers[rows, trees * CHOICES + at.astype(np.int64)].astype(np.uint64)
+        return _mix(nodes ^ _mix((at << np.uint64(32)) + number + np.uint64(1)))
 
     return (
-        np.concatenate((row, row[more])),
-        np.concatenate((child(row, node, one), child(row[more], node[more], two[more]))),
+        np.concatenate((row, row[again])),
+        np.concatenate((child(row, node, tree, one), child(row[again], node[again], tree[again], two))),
+        np.concatenate((tree, tree[again])),
     )
 
 
-def leaves(sig: np.ndarray, trees: int, depth: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes of the given depth in every tree: (row, node)."""
+def leaves(sig: np.ndarray, trees: int, depth: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes of the given depth in every tree: (row, node, tree). A pair of this similarity is expected in one child of a node.
+
+    ``sig`` has the numbers of one level after the other.
+    """
     row = np.tile(np.arange(len(sig)), trees)
-    node = _mix(np.repeat(np.arange(1, trees + 1, dtype=np.uint64), len(sig)))
-    for _ in range(depth):
-        row, node = branch(sig, row, node, similarity)
-    return row, node
+    tree = np.repeat(np.arange(trees, dtype=np.int64), len(sig))
+    node, width = _mix(tree.astype(np.uint64) + np.uint64(1)), trees * CHOICES
+    for level in range(depth):
+        row, node, tree = branch(sig[:, level * width:(level + 1) * width], row, node, tree, 1 / similarity - 1)
+    return row, node, tree

@@ -2,10 +2,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from haulframe.llm import near_dedup as nd
 from haulframe.llm.components import connected_components
-from haulframe.llm.minhash import leaves, signatures
+from haulframe.llm.minhash import CHOICES, branch, leaves, signatures
 from haulframe.llm.numtext import LOWER, Words
 
 SCHEMA = "doc_id bigint, text string"
@@ -114,12 +115,72 @@ def test_recall_of_trees(similarity):
         shared, own = int(400 * similarity), int(400 * (1 - similarity) / 2)
         a, b = (rng.integers(0, 2**63, own, dtype=np.uint64) for _ in range(2))
         both = rng.integers(0, 2**63, shared, dtype=np.uint64)
-        sig = signatures(np.concatenate((both, a, both, b)), np.array([0, shared + own]), nd.NUMBERS)
-        row, node = leaves(sig, nd.TREES, nd.DEPTH, 0.8)
+        sig = signatures(np.concatenate((both, a, both, b)), np.array([0, shared + own]), nd.TREES * nd.DEPTH * CHOICES)
+        row, node, _ = leaves(sig, nd.TREES, nd.DEPTH, 0.8)
         met += bool(set(node[row == 0]) & set(node[row == 1]))
     assert met >= 149
 
 
+def test_pairs_outlast_further_levels():
+    rng = np.random.default_rng(1)
+    met = 0
+    for _ in range(60):
+        a, b = (rng.integers(0, 2**63, 40, dtype=np.uint64) for _ in range(2))
+        both = rng.integers(0, 2**63, 320, dtype=np.uint64)
+        flat, first = np.concatenate((both, a, both, b)), np.array([0, 360])
+        row, node, tree = leaves(signatures(flat, first, nd.TREES * nd.DEPTH * CHOICES), nd.TREES, nd.DEPTH, 0.8)
+        for level in range(1, 9):
+            row, node, tree = branch(signatures(flat, first, nd.TREES * CHOICES, draw=level), row, node, tree, nd.MORE)
+            together = np.isin(node, np.intersect1d(node[row == 0], node[row == 1]))  # the others cannot meet any more
+            row, node, tree = row[together], node[together], tree[together]
+        met += bool(len(row))
+    assert met >= 59
+
+
+def _open_nodes(spark, sets, depth):
+    n = np.array([len(x) for x in sets])
+    sig = signatures(np.concatenate(sets), np.cumsum(n) - n, nd.TREES * depth * CHOICES)
+    table = [(i, bytearray(x.tobytes()), bytearray(s.tobytes())) for i, (x, s) in enumerate(zip(sig, sets))]
+    items = spark.createDataFrame(table, "rid bigint, sig binary, elements binary")
+    members = nd._leaves(items, nd.TREES, depth, 0.8).withColumn("component", F.col("rid"))
+    return items.select("rid", "elements"), members.join(members.groupBy("node").count().where("count > 1").select("node"), "node")
+
+
+def _children(members, elements, level):
+    return nd._children(members, elements, level, nd.TREES)
+
+
+def test_large_nodes_branch_until_small(spark, monkeypatch):
+    """Rows of one template at a similarity of 0.43 part; their near copies stay together."""
+    import haulframe.llm.links as links
+
+    monkeypatch.setattr(links, "BLOCK", 8)
+    rng = np.random.default_rng(3)
+    draw = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64)
+    base = draw(240)
+    varied = [np.unique(np.concatenate((base, draw(160)))) for _ in range(150)]
+    copies = [np.unique(np.append(x[4:], draw(4))) for x in varied[:30]]
+    elements, rows = _open_nodes(spark, varied + copies, 1)
+    by = {}
+    for r in (out := links.branched(rows, elements, _children).collect()):
+        by.setdefault(r["node"], set()).add(r["rid"])
+    assert all(r["n"] == len(by[r["node"]]) for r in out)
+    before = rows.groupBy("node").count().agg(F.sum(F.col("count") ** 2)).first()[0]
+    assert sum(len(m) ** 2 for m in by.values()) * 5 < before
+    assert all(any({i, 150 + i} <= m for m in by.values()) for i in range(30))
+
+
+def test_nodes_that_no_branching_parts_stay(spark, monkeypatch):
+    import haulframe.llm.links as links
+
+    monkeypatch.setattr(links, "BLOCK", 8)
+    elements, rows = _open_nodes(spark, [np.arange(1, 300, dtype=np.uint64) * np.uint64(2**40 + 9)] * 20, 1)
+    got = links.branched(rows, elements, _children).groupBy("node").count().collect()
+    assert got and {r["count"] for r in got} == {20}
+    one = rows.withColumn("component", F.lit(1).cast("bigint"))
+    assert links.branched(one, elements, _children).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5)]
