@@ -158,8 +158,8 @@ def test_large_nodes_branch_until_small(spark, monkeypatch):
     rng = np.random.default_rng(3)
     draw = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64)
     base = draw(240)
-    varied = [np.unique(np.concatenate((base, draw(160)))) for _ in range(150)]
-    copies = [np.unique(np.append(x[4:], draw(4))) for x in varied[:30]]
+    varied = [np.unique(np.concatenate((base, draw(160)))) for _ in range(80)]
+    copies = [np.unique(np.append(x[4:], draw(4))) for x in varied[:15]]
     elements, rows = _open_nodes(spark, varied + copies, 1)
     by = {}
     for r in (out := links.branched(rows, elements, _children).collect()):
@@ -167,7 +167,7 @@ def test_large_nodes_branch_until_small(spark, monkeypatch):
     assert all(r["n"] == len(by[r["node"]]) for r in out)
     before = rows.groupBy("node").count().agg(F.sum(F.col("count") ** 2)).first()[0]
     assert sum(len(m) ** 2 for m in by.values()) * 5 < before
-    assert all(any({i, 150 + i} <= m for m in by.values()) for i in range(30))
+    assert all(any({i, 80 + i} <= m for m in by.values()) for i in range(15))
 
 
 def test_nodes_that_no_branching_parts_stay(spark, monkeypatch):
