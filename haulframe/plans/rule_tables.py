@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from haulframe.functions.semantics import if_else3
 from haulframe.functions.text import NOTE_SEPARATOR, matches
@@ -90,8 +91,11 @@ def correct(df: DataFrame, corrections: DataFrame, columns: Sequence[str] = CORR
         F.array_sort(F.flatten(F.collect_list("_notes"))).alias("_notes"),
     ).withColumn("_notes", F.array_join(F.transform("_notes", lambda n: n["note"]), NOTE_SEPARATOR))
     anywhere = known.agg(F.collect_set("column").alias("c")).scalar()
-    joined = df.withColumn("_corrected", anywhere).join(per_id, F.col(C.CATCH_ID) == F.col("_id"), "left")
     missing = F.col(C.CATCH_ID).isNull()
+    # a join would bring all rows without an id to one task; they are dealt by what else is in them, and match nothing
+    simple = [f.name for f in df.schema if isinstance(f.dataType, T.AtomicType)]
+    dealt = F.coalesce(F.col(C.CATCH_ID), F.xxhash64(*([C.ROW_ID] if C.ROW_ID in df.columns else simple)))
+    joined = df.withColumns({"_corrected": anywhere, "_dealt": dealt}).join(per_id, (F.col("_dealt") == F.col("_id")) & ~missing, "left")
     # a value may be corrected to a missing one
     new = {
         c: F.when(missing & F.array_contains("_corrected", c), F.lit(None))
@@ -100,7 +104,7 @@ def correct(df: DataFrame, corrections: DataFrame, columns: Sequence[str] = CORR
     }
     noted = F.concat_ws(NOTE_SEPARATOR, F.nullif(F.col(C.NOTE), F.lit("")), F.col("_notes"))
     new[C.NOTE] = F.when(missing & (F.size("_corrected") > 0), F.lit(None)).when(F.col("_id").isNotNull(), noted).otherwise(F.col(C.NOTE))
-    return joined.withColumns(new).drop("_id", "_values", "_notes", "_corrected")
+    return joined.withColumns(new).drop("_id", "_values", "_notes", "_corrected", "_dealt")
 
 
 def with_mode(df: DataFrame, subzones: DataFrame, techniques: DataFrame, pattern: str, pattern_mode: str) -> DataFrame:
