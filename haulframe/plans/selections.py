@@ -22,7 +22,7 @@ CELL = (C.YEAR, C.MONTH_NUMBER, C.ZONE, C.MODE)
 
 def _bitmaps(numbered: DataFrame, kind: str) -> DataFrame:
     n = F.col("_number") + 1  # bit positions begin with 1
-    cells = numbered.groupBy(*CELL, F.bitmap_bucket_number(n).alias("bucket"))
+    cells = numbered.groupBy("_cell", F.bitmap_bucket_number(n).alias("bucket"))
     return cells.agg(F.bitmap_construct_agg(F.bitmap_bit_position(n)).alias("bits")).withColumn("kind", F.lit(kind))
 
 
@@ -31,18 +31,22 @@ def selectable(df: DataFrame) -> DataFrame:
 
     A missing angler, outing, zone or mode is a value like any other.
     """
-    pairs = stored(df.groupBy(*CELL, C.OUTING, C.ANGLER).agg(sum0(C.CATCHES).alias("_catch")), "pairs")
-    outings = pairs.groupBy(*CELL, C.OUTING).agg(F.sum("_catch").alias("_catch"))
+    # an outing's 128-bit digest and the number of its cell are what is shuffled from here on
+    outing = F.unhex(F.md5(F.col(C.OUTING).cast("binary"))).alias("_outing")
+    pairs = stored(df.groupBy(*CELL, outing, C.ANGLER).agg(sum0(C.CATCHES).alias("_catch")), "pairs")
+    codes = in_order(pairs.select(*CELL).distinct(), CELL, "_cell")
+    coded = match_missing(pairs, codes, CELL).select("_cell", "_outing", C.ANGLER, "_catch")
+    per_cell = coded.groupBy("_outing", "_cell").agg(F.sum("_catch").alias("_catch"))
     # an outing of several cells has one number, by its first cell
-    first = outings.groupBy(C.OUTING).agg(F.min(F.struct(*CELL)).alias("_cell"))
-    numbers = in_order(first, ["_cell", C.OUTING], "_number").select(C.OUTING, "_number")
-    numbered = stored(match_missing(outings, numbers, [C.OUTING]), "outings")
-    people = in_order(pairs.select(C.ANGLER).distinct(), [C.ANGLER], "_number")
-    by_angler = match_missing(pairs.select(*CELL, C.ANGLER).distinct(), people, [C.ANGLER])
-    caught = pairs.groupBy(*CELL).agg(F.sum("_catch").alias("caught")).withColumn("kind", F.lit("catch"))
+    per_outing = per_cell.groupBy("_outing").agg(F.min("_cell").alias("_first"), F.collect_list(F.struct("_cell", "_catch")).alias("_in"))
+    placed = per_outing.select("_first", F.xxhash64("_outing").alias("_at_random"), "_in")
+    numbered = in_order(placed, ["_first", "_at_random"], "_number").select("_number", F.inline("_in"))
+    people = in_order(coded.select(C.ANGLER).distinct(), [C.ANGLER], "_number")
+    by_angler = match_missing(coded.select("_cell", C.ANGLER).distinct(), people, [C.ANGLER])
+    caught = coded.groupBy("_cell").agg(F.sum("_catch").alias("caught")).withColumn("kind", F.lit("catch"))
     table = _bitmaps(numbered, "outing").unionByName(_bitmaps(numbered.where(F.col("_catch") == 0), "fruitless"))
     table = table.unionByName(_bitmaps(by_angler, "angler")).unionByName(caught, allowMissingColumns=True)
-    return stored(table, "cells")
+    return stored(table.join(codes, "_cell").drop("_cell"), "cells")
 
 
 def _merged(cells: DataFrame, keys: list[str]) -> DataFrame:

@@ -37,3 +37,19 @@ def test_an_id_that_equals_a_digest_of_a_row_without_one(spark):
     number = d.select(F.xxhash64(C.ROW_ID)).first()[0]
     given = spark.createDataFrame([(1, number, C.CATCHES, 3.0, "n")], rule_tables.CORRECTIONS)
     assert tuple(rule_tables.correct(d, given).first()) == (5, None, None, None)
+
+
+def _stored(spark):
+    return sum(os.path.getsize(f"{at}/{f}") for at, _, files in os.walk(shared_dir(spark)) for f in files if f.endswith(".parquet"))
+
+
+def test_the_table_of_cells_stores_little_per_outing(spark):
+    n = 40_000
+    d = spark.range(n).select(
+        F.lit(2026).alias(C.YEAR), (F.col("id") % 12).cast("int").alias(C.MONTH_NUMBER), F.lit("z").alias(C.ZONE), F.lit("Bateau").alias(C.MODE),
+        F.md5(F.col("id").cast("string")).alias(C.OUTING), (F.col("id") % 50).cast("string").alias(C.ANGLER), F.lit(1.0).alias(C.CATCHES),
+    )
+    before = _stored(spark)
+    cells = selections.selectable(d)
+    assert _stored(spark) - before < 60 * n  # three tables with the whole digest held more than 90 bytes
+    assert tuple(selections.figures(cells).first()) == (50, n, 0, float(n))
