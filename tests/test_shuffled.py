@@ -53,3 +53,18 @@ def test_the_table_of_cells_stores_little_per_outing(spark):
     cells = selections.selectable(d)
     assert _stored(spark) - before < 60 * n  # three tables with the whole digest held more than 90 bytes
     assert tuple(selections.figures(cells).first()) == (50, n, 0, float(n))
+
+
+def test_outings_are_shuffled_by_packed_digests(spark):
+    texts = [None, "", "b", "a", "a\0", "x" * 15, "x" * 16, "g" * 32, "0" * 32, "f" * 32, "F" * 32, "0" * 31 + "1"]
+    d = spark.createDataFrame([*enumerate(texts * 2)], f"n int, `{C.OUTING}` string")
+    found = outings.with_outing_labels(d)
+    assert found.columns == ["n", C.OUTING, "outing_label"]
+    rows = sorted(found.collect())
+    assert [r[C.OUTING] for r in rows] == texts * 2
+    labels = {r[C.OUTING]: r["outing_label"] for r in rows}
+    assert sorted(labels.values()) == [f"S{i:06}" for i in range(1, len(texts) + 1)]
+    assert labels["0" * 32] < labels["0" * 31 + "1"] < labels["f" * 32]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"hashpartitioning\((.*)\)", plan)
+    assert dealt and not [x for x in dealt if f"{C.OUTING}#" in x]
