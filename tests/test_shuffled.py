@@ -2,6 +2,7 @@
 
 import os
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -23,7 +24,8 @@ def test_rows_without_an_id_are_dealt_to_all_tasks(spark):
         for rows in (d, d.drop(C.ROW_ID).withColumn(C.SIZE, F.col(C.CATCH_ID) * 0.0 + 1).withColumn("n", F.monotonically_increasing_id())):
             found = rule_tables.correct(rows, given).withColumn("task", F.spark_partition_id())
             assert found.columns == [*rows.columns, "task"]
-            assert max(r["count"] for r in found.groupBy("task").count().collect()) < 2000
+            # whole rows, as the optimizer leaves out a join that nothing is taken from
+            assert max(Counter(r["task"] for r in found.collect()).values()) < 2000
             assert found.where(F.col(C.CATCH_ID).isNotNull()).agg(F.sum(C.CATCHES), F.count("*")).first() == (9000.0, 1000)
             assert found.where(F.col(C.CATCH_ID).isNull()).agg(F.count(C.CATCHES), F.count("*")).first() == (0, 3000)
     finally:
