@@ -10,11 +10,12 @@ and where pages quote the same passage:
 
 - Lines in elements that are no article (navigation, headers, footers, asides, forms, advertisements, notices, reader comments)
   go, whether a partner shows them or not.
-- A page that marks its article (``article``, else ``main``) keeps those lines, and only those.
+- A page that marks its article (``article``, else ``main``) keeps those lines, and only those: lines of it that a partner shows
+  are deleted like all others, and put back.
 
 Order and pairing: URLs are dealt by ranges and numbered, so a host may hold any share of the pages. Only hashes of lines are
-paired, in blocks of ``BLOCK`` neighbours with the borders repeated; the pages themselves are read a second time and joined with the numbers
-of their shared lines, where these decide anything.
+paired, in blocks of ``BLOCK`` neighbours with the borders repeated; the pages themselves are read a second time and each is joined with the numbers
+of its shared lines. Pages without a URL or HTML have none, and are dealt by what else is in them.
 
 Defined results: a missing or empty page has the empty text. A page without a URL (or with one without a host) has no
 partner. Rows with the same URL and HTML are one page, and get the same text. Other columns are kept; those named text and n_chars are replaced.
@@ -112,13 +113,20 @@ def shared_lines(own: list[int], chars: list[int], partners: list[list[int]]) ->
     return sorted(out)
 
 
+def kept_lines(lines: list[tuple[str, int]], shared: list[int]) -> tuple[list[int], list[int]]:
+    """Numbers of the lines that are left, and of those among them that differencing had deleted and the check by markup put back."""
+    gone = set(shared)
+    left = [i for i in range(len(lines)) if i not in gone]
+    marked = max((part for _, part in lines if part in (MAIN, ARTICLE)), default=None)
+    if marked is None:
+        return [i for i in left if lines[i][1] != ASIDE], []
+    back = [i for i in sorted(gone) if lines[i][1] == marked]
+    return sorted([i for i in left if lines[i][1] == marked] + back), back
+
+
 def main_text(lines: list[tuple[str, int]], shared: list[int]) -> str:
     """Lines that are left, joined by blanks."""
-    marked = max((part for _, part in lines if part in (MAIN, ARTICLE)), default=None)
-    if marked is not None:
-        return " ".join(text for text, part in lines if part == marked)
-    gone = set(shared)
-    return " ".join(text for i, (text, part) in enumerate(lines) if part != ASIDE and i not in gone)
+    return " ".join(lines[i][0] for i in kept_lines(lines, shared)[0])
 
 
 def _hash(line: str) -> int:
@@ -130,7 +138,7 @@ def _key(html: Column) -> Column:
 
 
 def shared_line_numbers(pages: DataFrame, url: str = "url", html: str = "html", neighbours: int = NEIGHBOURS) -> DataFrame:
-    """(_url, _key, marked, shared): numbers of the lines that a page shares, and whether it marks its article. Stored.
+    """(_url, _key, shared): numbers of the lines that a page shares. Stored.
 
     Of all pages that share any; ``_key`` is the MD5 of the HTML.
     """
@@ -146,11 +154,10 @@ def shared_line_numbers(pages: DataFrame, url: str = "url", html: str = "html",
                 *(batch.column(c) for c in ("_url", "_key", "host", "path")),
                 pa.array([[_hash(t) for t, _ in f] for f in found], pa.list_(pa.int64())),
                 pa.array([[len(t) for t, _ in f] for f in found], pa.list_(pa.int32())),
-                pa.array([any(part in (MAIN, ARTICLE) for _, part in f) for f in found], pa.bool_()),
-            ], ["_url", "_key", "host", "path", "lines", "chars", "marked"])
+            ], ["_url", "_key", "host", "path", "lines", "chars"])
 
-    facts = rows.mapInArrow(described, "_url string, _key binary, host string, path string, lines array<bigint>, chars array<int>, marked boolean")
-    facts = facts.groupBy("host", "path", "_url", "_key").agg(*(F.any_value(c).alias(c) for c in ("lines", "chars", "marked")))
+    facts = rows.mapInArrow(described, "_url string, _key binary, host string, path string, lines array<bigint>, chars array<int>")
+    facts = facts.groupBy("host", "path", "_url", "_key").agg(*(F.any_value(c).alias(c) for c in ("lines", "chars")))
     placed = in_order(facts, ["host", "path", "_url", "_key"], "at").drop("path")
     # a page stands in its block, and in the next one too where it is a neighbour of pages there
     block = lambda shift: F.floor((F.col("at") + shift) / BLOCK)
@@ -174,37 +181,47 @@ def shared_line_numbers(pages: DataFrame, url: str = "url", html: str = "html",
             shared = [shared_lines(*x) for x in zip(own, chars, others)]
             some = pa.array([bool(s) for s in shared], pa.bool_())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("_url", "_key", "marked")), pa.array(shared, pa.list_(pa.int32()))], ["_url", "_key", "marked", "shared"]
+                [*(batch.column(c) for c in ("_url", "_key")), pa.array(shared, pa.list_(pa.int32()))], ["_url", "_key", "shared"]
             ).filter(some)
 
-    found = paired.select("_url", "_key", "marked", "lines", "chars", partners.alias("partners")).mapInArrow(
-        aligned, "_url string, _key binary, marked boolean, shared array<int>"
+    found = paired.select("_url", "_key", "lines", "chars", partners.alias("partners")).mapInArrow(
+        aligned, "_url string, _key binary, shared array<int>"
     )
     return stored(found, "shared-lines")
 
 
-def extract(pages: DataFrame, url: str = "url", html: str = "html", neighbours: int = NEIGHBOURS) -> DataFrame:
-    """``pages`` with text and n_chars (its characters) in place of the HTML."""
-    # a marked article overrules what is shared; stored apart, Spark knows before the join how few or many other pages there are
-    shared = stored(shared_line_numbers(pages, url, html, neighbours).where(~F.col("marked")), "deciding-lines")
-    names = [c for c in pages.columns if c not in (html, "text", "n_chars")]
+def extract(pages: DataFrame, url: str = "url", html: str = "html", neighbours: int = NEIGHBOURS, counts: bool = False) -> DataFrame:
+    """``pages`` with text and n_chars (its characters) in place of the HTML.
+
+    With ``counts`` also n_deleted, the lines that differencing deleted, and n_restored, those of them that the check by markup put back.
+    """
+    shared = shared_line_numbers(pages, url, html, neighbours)
+    added = ["text", "n_chars"] + ["n_deleted", "n_restored"] * counts
+    names = [c for c in pages.columns if c not in (html, *added)]
     others = F.struct(*(F.col(c) for c in names), F.lit(0).alias("_none"))  # whatever their names are, they clash with none here
-    kept = pages.select(F.col(html).cast("string").alias("_page"), _key(F.col(html)).alias("_page_key"), F.col(url).cast("string").alias("_page_url"), others.alias("_others"))
+    # a page without a URL or HTML matches nothing, as its key is shorter than an MD5
+    simple = [c for c in names if isinstance(pages.schema[c].dataType, T.AtomicType)]
+    dealt = F.unhex(F.hex(F.xxhash64(F.lit(0), *simple)))
+    key = F.when(F.col(url).isNotNull() & F.col(html).isNotNull(), _key(F.col(html))).otherwise(dealt)
+    kept = pages.select(F.col(html).cast("string").alias("_page"), key.alias("_page_key"), F.col(url).cast("string").alias("_page_url"), others.alias("_others"))
+    # shared lines grow with the pages, so they are not broadcast; a hash join does not sort the HTML
     joined = kept.join(
-        shared, (F.col("_page_url") == F.col("_url")) & (F.col("_page_key") == F.col("_key")), "left"
+        shared.hint("shuffle_hash"), (F.col("_page_url") == F.col("_url")) & (F.col("_page_key") == F.col("_key")), "left"
     ).select("_page", "shared", "_others")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, "_page"):
-            pairs = zip(batch.column("_page").to_pylist(), batch.column("shared").to_pylist())
-            texts = [main_text(lines_of(page), gone or []) if page else "" for page, gone in pairs]
-            yield pa.RecordBatch.from_arrays([
-                *batch.column("_others").flatten()[:-1], pa.array(texts, pa.string()),
-                pa.array([len(t) for t in texts], pa.int64()),
-            ], [*names, "text", "n_chars"])
+            texts, found = [], []
+            for page, gone in zip(batch.column("_page").to_pylist(), batch.column("shared").to_pylist()):
+                lines = lines_of(page) if page else []
+                left, back = kept_lines(lines, gone or [])
+                texts.append(" ".join(lines[i][0] for i in left))
+                found.append((len(texts[-1]), len(gone or []), len(back)))
+            numbers = [pa.array(n, pa.int64()) for n in zip(*found)][:len(added) - 1]
+            yield pa.RecordBatch.from_arrays([*batch.column("_others").flatten()[:-1], pa.array(texts, pa.string()), *numbers], [*names, *added])
 
     schema = T.StructType([
         *(pages.schema[c] for c in names), T.StructField("text", T.StringType()),
-        T.StructField("n_chars", T.LongType()),
+        *(T.StructField(c, T.LongType()) for c in added[1:]),
     ])
     return joined.mapInArrow(cut, schema)

@@ -2,6 +2,7 @@
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from haulframe.llm import extraction, html_lines
 from haulframe.llm.extraction import common_places, main_text, shared_lines
@@ -112,3 +113,31 @@ def test_rules_of_one_page():
     assert shared_lines([], [], [[1]]) == [] and shared_lines([1, 2, 3], [5, 50, 5], [[1, 3], [2, 1]]) == [0, 2]
     assert main_text([("menu", ASIDE), ("a", OPEN), ("b", OPEN)], [2]) == "a"
     assert main_text([("a", OPEN), ("m", html_lines.MAIN), ("x", ARTICLE)], []) == "x"
+
+
+def test_marked_articles_are_differenced_too(spark):
+    body = lambda i: f"<nav>Home</nav><article><p>a passage that all of them quote</p><p>{'own words ' * (12 + i)}</p></article><footer>Imprint</footer>"
+    rows = [(i, f"http://h.org/{i}", page(body(i))) for i in range(5)]
+    rows += [(10 + i, None, html) for i, html in enumerate([page(body(10)), None, ""])]  # no partner
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    found = {r["page_id"]: r for r in extraction.extract(df, counts=True).collect()}
+    assert found[0].asDict().keys() == {"page_id", "url", "text", "n_chars", "n_deleted", "n_restored"} and len(found) == 8
+    for i in (0, 1, 2, 3, 4, 10):
+        assert found[i]["text"] == f"a passage that all of them quote {' '.join(['own words'] * (12 + i))}"
+        # menu, passage and imprint are deleted, the passage comes back
+        assert (found[i]["n_deleted"], found[i]["n_restored"]) == ((3, 1) if i < 10 else (0, 0))
+    assert found[11]["text"] == found[12]["text"] == ""
+    assert extraction.kept_lines([("menu", ASIDE), ("a", ARTICLE), ("b", ARTICLE), ("c", OPEN)], [0, 2]) == ([1, 2], [2])
+
+
+def test_pages_without_a_key_are_dealt(spark):
+    df = spark.createDataFrame([(i, None, None) for i in range(400)], "page_id bigint, url string, html string")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        sizes = [r["count"] for r in extraction.extract(df).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 400 and len(sizes) == 4 and max(sizes) < 200
