@@ -94,9 +94,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with the declaration columns they can give."""
-    return table(spark, sf_dir, "lineitem").withColumns(
-        {name: F.expr(e) for name, e in LINE_COLUMNS.items()}
-    ).withColumns({
+    return _with_lines(table(spark, sf_dir, "lineitem"))
+
+
+def _with_lines(df: DataFrame) -> DataFrame:
+    return df.withColumns({name: F.expr(e) for name, e in LINE_COLUMNS.items()}).withColumns({
         C.KEPT: F.when(F.col("l_linenumber") % 2 == 0, F.col(C.CATCHES)).otherwise(0.0),
         C.RELEASED: F.when(F.col("l_linenumber") % 2 == 0, 0.0).otherwise(F.col(C.CATCHES)),
     })
@@ -199,7 +201,10 @@ def raw_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
     The first two lines of an order are sent twice, with another time stamp.
     """
     sent = F.explode(F.when(F.col("l_linenumber") <= 2, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
-    d = with_angler(catches(spark, sf_dir), spark, sf_dir).withColumn("copy", sent)
+    # line items are joined as they are: the many columns that they give would be shuffled with them
+    part, orders = table(spark, sf_dir, "part"), table(spark, sf_dir, "orders")
+    d = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    d = _with_lines(d).withColumns({name: F.expr(e) for name, e in {**PART_COLUMNS, **ORDER_COLUMNS}.items()}).withColumn("copy", sent)
     return d.select(
         (F.col(C.ROW_ID) * F.lit(Decimal(2)) + F.col("copy")).alias(C.ROW_ID),
         F.col(C.SESSION).alias("Heure debut session"),

@@ -22,7 +22,7 @@ from haulframe.plans.rule_tables import RuleTables
 from haulframe.plans.rules import CleaningRules
 from haulframe.sources import columns as C
 from haulframe.sources.exports import read_declarations, write_declarations
-from haulframe.sources.shared import stored
+from haulframe.sources.shared import remove, shuffles_removed, stored
 
 LOAD = "_load"
 
@@ -83,7 +83,9 @@ def add_load(
     write_declarations(rows, store.cleaned, "overwrite", only_given_years=True)
     keys = key_table(spark, store)
     added = new.select(KEY, LOAD).join(keys.where(F.col(LOAD) == load).select(KEY), KEY, "left_anti")
-    added.write.insertInto("haulframe_keys_" + hashlib.md5(store.path.encode()).hexdigest())
+    with shuffles_removed(spark):
+        added.write.insertInto("haulframe_keys_" + hashlib.md5(store.path.encode()).hexdigest())
+    remove(spark, new._stored_at)
 
 
 def read_store(spark: SparkSession, store: Store) -> DataFrame:

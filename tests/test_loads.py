@@ -150,3 +150,31 @@ def test_selections(spark):
         assert tuple(selections.figures(cells, cond).first()) == want
     assert sum(r["total_catch"] for r in selections.figures_by(cells, C.YEAR).collect()) == sum(r[-1] or 0 for r in rows)
     assert tuple(selections.figures(selections.selectable(d.limit(0))).first()) == (0, 0, 0, 0.0)
+
+
+def test_a_load_leaves_its_rows_and_keys_only(spark, tmp_path, limits):
+    import time
+
+    from haulframe.sources.shared import shared_dir
+
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    files = lambda: {x for x in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x}
+    tables = lambda: set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/*/load-*"))
+    before, held = files(), tables()
+    store = loads.Store(str(tmp_path / "store"), 4)
+    rows = spark.createDataFrame([raw_row(n, 2025 + n % 2) for n in range(30)], RAW)
+    for load, part in ((1, rows.limit(20)), (2, rows), (3, rows.limit(0))):
+        loads.add_load(spark, store, part, load, limits)
+    until = time.time() + 20
+    left = lambda: sum(os.path.getsize(x) for x in files() - before if x.endswith(".data") and os.path.exists(x))
+    while left() > 2000 and time.time() < until:  # the list of years has a shuffle of its own
+        time.sleep(0.1)
+    assert tables() == held and left() <= 2000
+    assert loads.read_store(spark, store).count() == 30
+
+
+def test_raw_declarations_shuffle_line_items_as_they_are(spark):
+    from haulframe.catalog import tables
+
+    plan = tables.raw_declarations(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "concat(Zone" in plan[:plan.index("Join")] and "concat(Zone" not in plan[plan.index("Join"):]
