@@ -209,3 +209,68 @@ def test_sink_prunes_years(spark, tmp_path):
     back = exports.read_declarations(spark, out, d.schema).where(F.col(C.YEAR) == 2026)
     assert sorted(r.x for r in back.collect()) == [2, 3]
     assert "PartitionFilters: [isnotnull(annee" in back._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("unreadable", ["fail", "mark"])
+def test_parsing_is_compiled(spark, unreadable):
+    """HotSpot leaves methods above 8000 bytes of bytecode interpreted; a row of many columns is parsed below that."""
+    import re
+
+    names = list(C.RAW_TYPES) + [f"x{i}" for i in range(20)]
+    rows = spark.range(5).select(F.col("id").alias(C.ROW_ID), F.lit(";" * (len(names) - 1)).alias("value"))
+    plan = exports.parse_rows(rows, names, unreadable)._jdf.queryExecution()
+    code = spark.sparkContext._jvm.org.apache.spark.sql.execution.debug.package.codegenString(plan.executedPlan())
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_lines_that_are_no_rows_are_not_parsed(spark):
+    """Also a line that could not be read; rows keep their order and what is read of them."""
+    rows = spark.createDataFrame([(1, "a;b;c", False), (2, " NA ;x", True), (3, '"open', False), (4, " y ;", True)], "n int, value string, _body boolean")
+    for unreadable in ("fail", "mark"):
+        found = exports.parse_rows(rows, ["one", "two"], unreadable).orderBy("n").collect()
+        assert [tuple(r)[:3] for r in found] == [(2, None, "x"), (4, "y", None)]
+
+
+def test_small_files_are_read_by_few_tasks(spark, tmp_path):
+    for i in range(60):
+        write(tmp_path / f"f{i:02}.csv", [f'{i};2025-01-01 00:00:00;1;1;"é\n{i}";1;1;', f"{i + 100};2025-01-01 00:00:00;1;1;b;1;1;"], header=HEADER if i % 2 else HEADER + ";more")
+        if not i % 2:  # another header, with a field more
+            text = (tmp_path / f"f{i:02}.csv").read_text(encoding="utf-8").replace(";1;1;\n", ";1;1;;\n")
+            (tmp_path / f"f{i:02}.csv").write_text(text, encoding="utf-8")
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        spark.conf.set(names[0], "64k")
+        spark.conf.set(names[1], "64k")
+        many = spark.read.text(str(tmp_path)).rdd.getNumPartitions()
+        d = exports.read_export(spark, str(tmp_path))
+        scanned = d._jdf.queryExecution().optimizedPlan().toString()
+        rows = d.collect()
+    finally:
+        for n, v in zip(names, before):
+            spark.conf.set(n, v)
+    assert many == 60 and f"Repartition {4 * spark.sparkContext.defaultParallelism}, false" in scanned
+    assert sorted(int(r["Id_Prise"]) for r in rows) == sorted([*range(60), *range(100, 160)])
+    assert {r["NomVernaculaire"] for r in rows} == {"b", *(f"é\n{i}" for i in range(60))}
+    assert spark.conf.get(names[2]) == before[2]
+
+
+def test_records_of_several_lines_are_found_once(spark, tmp_path):
+    f = write(tmp_path / "a.csv", [f'{i};2025-01-01 00:00:00;1;1;"a\n{i}";1;1;' for i in range(9)])
+    d = exports.read_export(spark, f)
+    assert "Window" not in d._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["NomVernaculaire"] for r in d.collect()) == [f"a\n{i}" for i in range(9)]
+
+
+def test_headers_and_open_quotes_come_from_one_pass(spark):
+    lines = spark.createDataFrame(
+        [("a", 0, 0, 'h "x', True), ("a", 0, 1, 'b;"c', False), ("a", 0, 2, "plain", False), ("a", 0, 3, 'd";', False)], "_path string, _block long, _line long, value string, head boolean",
+    )
+    from haulframe.sources import records
+
+    found = records.turning(lines, F.col("head"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LocalRelation") + found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    got = {r["_line"]: (r["_swap"], r["_set"], r["value"]) for r in found.collect()}
+    assert got[0] == (None, None, 'h "x') and set(got) == {0, 1, 3}
+    assert {k: v[:2] for k, v in got.items() if k} == {r["_line"]: (r["_swap"], r["_set"]) for r in records.turning(lines.where("not head")).collect()}
